@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.constants import ANOMALY_SHARE, ACH, CITY_POPULATION, FLAGS, TYPE_WEIGHT, WALLET
-from txnlens.functions.draws import draw, weighted_pick, whole
+from txnlens.constants import (
+    ACH,
+    ANOMALY_SHARE,
+    BANK_CITIES,
+    CITY_POPULATION,
+    FLAGS,
+    TYPE_WEIGHT,
+    WALLET,
+)
+from txnlens.functions.calendar import MINUTE
+from txnlens.functions.draws import (
+    account_number,
+    draw,
+    phone_number,
+    pick,
+    weighted_pick,
+    whole,
+)
 from txnlens.functions.text import zero_pad
+from txnlens.operators.inject import home_city
+
+START_2024 = 1_704_067_200_000_000  # microseconds since 1970
 
 CITIES = list(CITY_POPULATION)
 
@@ -93,3 +112,57 @@ def with_resends(txn: DataFrame, share: float = ANOMALY_SHARE) -> DataFrame:
         }
     )
     return txn.unionByName(again)
+
+
+def bank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the older bank table: a step counter, sticky city and phone per customer."""
+    user = F.concat(F.lit("customer_"), zero_pad("user_id", 3))
+    minutes = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - START_2024) / (10 * MINUTE))
+    phone = F.col("_phone")
+    written = F.concat(
+        F.substring(phone, 1, 2),
+        F.lit(" ("),
+        F.substring(phone, 3, 3),
+        F.lit(") "),
+        F.substring(phone, 6, 3),
+        F.lit("-"),
+        F.substring(phone, 9, 4),
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .withColumns({"customer_id": user, "_phone": phone_number("phone", user)})
+        .select(
+            "customer_id",
+            F.concat("customer_id", F.lit("-"), zero_pad("event_id", 8)).alias("transaction_id"),
+            minutes.cast("int").alias("step"),
+            F.col("value").alias("amount"),
+            pick(BANK_CITIES, draw("bank-city", "customer_id")).alias("city"),
+            account_number("account", "event_id").alias("receiver_account"),
+            written.alias("receiver_phone"),
+        )
+    )
+
+
+def expected_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phone number on file, which a tenth of the customers lack."""
+    user = F.concat(F.lit("customer_"), zero_pad("user_id", 3)).alias("customer_id")
+    return (
+        table(spark, sf_dir, "events")
+        .select("user_id")
+        .distinct()
+        .select(user)
+        .where(draw("enrolled", "customer_id") < 0.9)
+        .withColumn("expected_phone", phone_number("phone", "customer_id"))
+    )
+
+
+def home_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's home city."""
+    user = F.concat(F.lit("customer_"), zero_pad("user_id", 3)).alias("customer_id")
+    return (
+        table(spark, sf_dir, "events")
+        .select("user_id")
+        .distinct()
+        .select(user)
+        .withColumn("home_city", home_city())
+    )
