@@ -1,7 +1,8 @@
-"""Repeatable draws: a random number that depends only on a seed and a key.
+"""Repeatable draws: a random number that depends only on a seed and key columns.
 
 The same key always draws the same number, whatever the partitioning and however often a lost
-task is run again.
+task is run again. Draws are built as SQL text, one expression each, since they are used by the
+dozen.
 """
 
 from __future__ import annotations
@@ -9,66 +10,77 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# 12 hex digits of the digest: 48 bits, exact in a double.
-_DIGITS = 12
-_SPAN = float(2**48)
 
+def _number(seed: str, keys: tuple[str, ...]) -> str:
+    """A 48-bit number: 12 hex digits of a digest, exact in a double."""
+    text = f"concat_ws('|', '{seed}', {', '.join(keys)})"
+    return f"cast(conv(substr(md5({text}), 1, 12), 16, 10) as bigint)"
 
-def hash_number(seed: str, *keys: Column | str) -> Column:
-    """A 48-bit number from the seed and the keys."""
-    text = F.concat_ws("|", F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("bigint")
 
+def _unit(seed: str, keys: tuple[str, ...]) -> str:
+    return f"({_number(seed, keys)} / {float(2**48)!r}D)"
 
-def draw(seed: str, *keys: Column | str) -> Column:
+
+def _literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def values_array(values: list) -> Column:
+    return F.expr(f"array({', '.join(map(_literal, values))})")
+
+
+def hash_number(seed: str, *keys: str) -> Column:
+    """A whole number in [0, 2^48)."""
+    return F.expr(_number(seed, keys))
+
+
+def draw(seed: str, *keys: str) -> Column:
     """A number in [0, 1)."""
-    return hash_number(seed, *keys) / F.lit(_SPAN)
+    return F.expr(_unit(seed, keys))
 
 
-def between(seed: str, low: float, high: float, *keys: Column | str) -> Column:
+def between(seed: str, low: float, high: float, *keys: str) -> Column:
     """A number in [low, high)."""
-    return F.lit(low) + draw(seed, *keys) * F.lit(high - low)
+    return F.expr(f"{low!r}D + {_unit(seed, keys)} * {high - low!r}D")
 
 
-def whole(seed: str, low: int, high: int, *keys: Column | str) -> Column:
+def whole(seed: str, low: int, high: int, *keys: str) -> Column:
     """A whole number from low to high, both included."""
-    return (F.lit(low) + F.floor(draw(seed, *keys) * F.lit(high - low + 1))).cast("int")
-
+    return F.expr(f"cast({low} + floor({_unit(seed, keys)} * {high - low + 1}) as int)")
 
-def pick(values: list[str], u: Column) -> Column:
-    """One of the values, all equally likely, by a draw ``u``."""
-    return F.element_at(F.array(*map(F.lit, values)), F.floor(u * len(values)).cast("int") + 1)
 
+def pick(values: list, seed: str, *keys: str) -> Column:
+    """One of the values, all equally likely."""
+    place = F.expr(f"cast(floor({_unit(seed, keys)} * {len(values)}) as int) + 1")
+    return F.element_at(values_array(values), place)
 
-def weighted_pick(weights: dict[str, float], u: Column) -> Column:
-    """One of the values by its weight.
 
-    The draw is compared with running totals, scaled by the sum so weights need not add up to 1.
-    """
-    total = sum(weights.values())
-    running, choice = 0.0, None
+def weighted_pick(weights: dict[str, float], seed: str, *keys: str) -> Column:
+    """One of the values by its weight; weights need not add up to 1."""
+    reach = f"{_unit(seed, keys)} * {_literal(float(sum(weights.values())))}"
+    running, cases = 0.0, []
     *head, last = weights
     for value in head:
         running += weights[value]
-        test = u * F.lit(float(total)) < F.lit(float(running))
-        choice = F.when(test, F.lit(value)) if choice is None else choice.when(test, F.lit(value))
-    return F.lit(last) if choice is None else choice.otherwise(F.lit(last))
+        cases.append(f"when {reach} < {_literal(running)} then {_literal(value)}")
+    return F.expr(f"case {' '.join(cases)} else {_literal(last)} end" if cases else _literal(last))
 
 
-def digits(seed: str, count: int, *keys: Column | str) -> Column:
+def digits(seed: str, count: int, *keys: str) -> Column:
     """A string of random digits with leading zeros kept."""
-    number = F.pmod(hash_number(seed, *keys), F.lit(10**count))
-    return F.lpad(number.cast("string"), count, "0")
+    return F.expr(f"lpad(cast({_number(seed, keys)} % {10**count} as string), {count}, '0')")
 
 
-def account_number(seed: str, *keys: Column | str) -> Column:
+def account_number(seed: str, *keys: str) -> Column:
     return F.concat(F.lit("ACCT"), digits(seed, 8, *keys))
 
 
-def phone_number(seed: str, *keys: Column | str) -> Column:
+def phone_number(seed: str, *keys: str) -> Column:
     return F.concat(F.lit("+1"), digits(seed, 10, *keys))
 
 
-def trait(name: str, bounds: tuple[float, float], places: int, *keys: Column | str) -> Column:
+def trait(name: str, bounds: tuple[float, float], places: int, *keys: str) -> Column:
     """A sticky attribute: the same key always has the same rounded value."""
     return F.round(between(f"trait-{name}", *bounds, *keys), places)

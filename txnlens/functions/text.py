@@ -24,10 +24,9 @@ def is_digits(text: Column | str) -> Column:
     return (F.col(text) if isinstance(text, str) else text).rlike("^[0-9]+$")
 
 
-def shift_digit(text: Column, position: Column, shift: Column) -> Column:
-    """Replace the digit at a 1-based position by (digit + shift) mod 10."""
-    digit = F.substring(text, position, F.lit(1)).cast("int")
-    return F.overlay(text, F.pmod(digit + shift, F.lit(10)).cast("string"), position, F.lit(1))
+def shift_digit(digit: Column, shift: Column) -> Column:
+    """(digit + shift) mod 10, as text."""
+    return F.pmod(digit.cast("int") + shift, F.lit(10)).cast("string")
 
 
 def differs(left: Column, right: Column) -> Column:

@@ -25,7 +25,16 @@ from txnlens.constants import (
     TYPED_ENTITY_TYPES,
 )
 from txnlens.functions.calendar import plus_seconds
-from txnlens.functions.draws import between, draw, phone_number, pick, trait, weighted_pick, whole
+from txnlens.functions.draws import (
+    between,
+    draw,
+    phone_number,
+    pick,
+    trait,
+    values_array,
+    weighted_pick,
+    whole,
+)
 from txnlens.functions.text import is_digits, shift_digit
 from txnlens.operators.sampling import mark_share
 
@@ -73,13 +82,19 @@ def mark_typos(txn: DataFrame) -> DataFrame:
         & (draw("typo", ID) < chance)
     )
 
-    def change(text: Column, turn: int) -> Column:
-        place = F.floor(draw(f"typo-place-{turn}", ID) * F.length(text)).cast("int") + 1
-        step = F.floor(draw(f"typo-shift-{turn}", ID) * len(DIGIT_SHIFTS)).cast("int") + 1
-        return shift_digit(text, place, F.element_at(F.array(*map(F.lit, DIGIT_SHIFTS)), step))
+    length = F.length("recipient_entity")
+    places = [F.floor(draw(f"typo-place-{turn}", ID) * length).cast("int") for turn in (1, 2)]
+    steps = [pick(DIGIT_SHIFTS, f"typo-shift-{turn}", ID) for turn in (1, 2)]
+    twice = whole("typo-count", 1, 2, ID) == 2
+
+    def change(digit: Column, at: Column) -> Column:
+        first = F.when(at == places[0], steps[0]).otherwise(0)
+        second = F.when(twice & (at == places[1]), steps[1]).otherwise(0)
+        return shift_digit(digit, first + second)
 
-    once = change(F.col("recipient_entity"), 1)
-    typed = F.when(whole("typo-count", 1, 2, ID) == 2, change(once, 2)).otherwise(once)
+    # The account number is named once: a filter on the result repeats all of this expression.
+    digits = F.regexp_extract_all("recipient_entity", F.lit("([0-9])"), F.lit(1))
+    typed = F.array_join(F.transform(digits, change), "")
     wrong = F.col("is_mistyped_entity_accident") == 1
     return txn.withColumns(
         {
@@ -112,11 +127,12 @@ def burst_children(txn: DataFrame) -> DataFrame:
             value = F.when(test, choice) if value is None else value.when(test, choice)
         return value
 
-    u = draw("child-entity", ID, n)
-    entity_types = {kind: pick(list(ENTITY_POOLS[kind]), u) for kind in BURST_CHILD_TYPES}
-    v = draw("child-recipient", ID, n)
+    entity_types = {
+        kind: pick(list(ENTITY_POOLS[kind]), "child-entity", ID, "_child")
+        for kind in BURST_CHILD_TYPES
+    }
     recipients = {
-        entity: pick(names, v)
+        entity: pick(names, "child-recipient", ID, "_child")
         for kind in BURST_CHILD_TYPES
         for entity, names in ENTITY_POOLS[kind].items()
     }
@@ -126,14 +142,14 @@ def burst_children(txn: DataFrame) -> DataFrame:
         .withColumn("_child", F.explode(F.sequence(F.lit(1), count)))
         .withColumns(
             {
-                "transaction_type": pick(BURST_CHILD_TYPES, draw("child-type", ID, n)),
+                "transaction_type": pick(BURST_CHILD_TYPES, "child-type", ID, "_child"),
                 "timestamp": plus_seconds("timestamp", later),
             }
         )
         .withColumns(
             {
                 "entity_type": choose(entity_types, "transaction_type"),
-                "amount": F.round(low + draw("child-amount", ID, n) * (high - low), 2),
+                "amount": F.round(low + draw("child-amount", ID, "_child") * (high - low), 2),
             }
         )
         .withColumn("recipient_entity", choose(recipients, "entity_type"))
@@ -161,14 +177,14 @@ def inject_accidents(txn: DataFrame) -> DataFrame:
 
 def home_city(customer: str = CUSTOMER) -> Column:
     """The customer's home, drawn by population: the same customer always has the same."""
-    return weighted_pick(CITY_POPULATION, draw("home", customer))
+    return weighted_pick(CITY_POPULATION, "home", customer)
 
 
 def with_usual_city(txn: DataFrame) -> DataFrame:
     """Draw each payment's city: mostly the customer's home, else another one by its population."""
     names = list(CITY_POPULATION)
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("_home")).cast("int")
-    people = F.element_at(F.array(*map(F.lit, CITY_POPULATION.values())), F.col("_place"))
+    place = F.array_position(values_array(names), F.col("_home")).cast("int")
+    people = F.element_at(values_array(list(CITY_POPULATION.values())), F.col("_place"))
     # Running totals without the home city, which therefore is never reached.
     reach = draw("away", ID) * (F.lit(sum(CITY_POPULATION.values())) - F.col("_people"))
     away, running = None, 0
@@ -192,8 +208,7 @@ def inject_locations(
     df: DataFrame, cities: list[str], column: str = "city", share: float = ANOMALY_SHARE
 ) -> DataFrame:
     """Give a share of the rows another city than their own and flag them."""
-    listed = F.array(*map(F.lit, cities))
-    others = F.array_except(listed, F.array(column))
+    others = F.array_except(values_array(cities), F.array(column))
     place = F.floor(draw("other-city", ID) * F.size(others)).cast("int") + 1
     return mark_share(df, "is_location_anomaly", "location", share).withColumn(
         column,

@@ -305,12 +305,13 @@ bank AS (
            || substr({_PHONE}, 7, 4) AS receiver_phone
   FROM events),
 bank1 AS (
-  SELECT * EXCLUDE (place) REPLACE (
+  SELECT * EXCLUDE (place, other) REPLACE (
     CASE WHEN place <= floor(total * {ANOMALY_SHARE}) THEN
-      list_filter({array(BANK_CITIES)}, c -> c <> city)
-        [CAST(floor({draw("other-city", "transaction_id")} * 6) AS INT) + 1] ELSE city END AS city),
+      ({array(BANK_CITIES)})[other + CAST(other >= list_position({array(BANK_CITIES)}, city) AS INT)]
+      ELSE city END AS city),
     place <= floor(total * {ANOMALY_SHARE}) AS is_location_anomaly
   FROM (SELECT *, count(*) OVER () AS total,
+          CAST(floor({draw("other-city", "transaction_id")} * 6) AS INT) + 1 AS other,
           row_number() OVER (ORDER BY {digest("location", "transaction_id")}, transaction_id) AS place
         FROM bank)),
 bank2 AS (

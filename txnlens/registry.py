@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import cache
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,11 @@ from txnlens.functions.calendar import calendar_columns, intensity, iso_text, st
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
 from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling
-from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder
 from txnlens.operators.spans import span_columns
+from txnlens.plans import train
 from txnlens.plans.features import labelled_features, rule_scores
+from txnlens.plans.train import split_rows
 from txnlens.schema import ensure_columns, normalize
 from txnlens.sources import csv, tables
 
@@ -53,8 +57,6 @@ def _homed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_roundtrip(spark, sf_dir):
-    import uuid
-
     path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
     csv.write_csv(tables.txn_events(spark, sf_dir), path)
     back = csv.read_transactions(spark, path)
@@ -383,7 +385,7 @@ def sample_rows(spark, sf_dir):
 def sticky_attribute(spark, sf_dir):
     return tables.bank_events(spark, sf_dir).select(
         "transaction_id",
-        pick(BANK_CITIES, draw("bank-city", "customer_id")).alias("city"),
+        pick(BANK_CITIES, "bank-city", "customer_id").alias("city"),
         phone_number("phone", "customer_id").alias("phone"),
     )
 
@@ -392,8 +394,8 @@ def sticky_attribute(spark, sf_dir):
 def weighted_pick_query(spark, sf_dir):
     return tables.txn_events(spark, sf_dir).select(
         "transaction_id",
-        weighted_pick(CITY_POPULATION, draw("pick-city", "transaction_id")).alias("city"),
-        weighted_pick(TYPE_WEIGHT, draw("pick-type", "transaction_id")).alias("kind"),
+        weighted_pick(CITY_POPULATION, "pick-city", "transaction_id").alias("city"),
+        weighted_pick(TYPE_WEIGHT, "pick-type", "transaction_id").alias("kind"),
     )
 
 
@@ -501,8 +503,7 @@ def stratified_split(spark, sf_dir):
 
 @query
 def standardize(spark, sf_dir):
-    rows = model.model_rows(labelled_features(tables.txn_events(spark, sf_dir))).persist()
-    split = sampling.stratified_split(rows).persist()
+    split = split_rows(labelled_features(tables.txn_events(spark, sf_dir)))
     scale = model.fit_scale(split.where(~F.col("is_test")))
     return rounded(scale.apply(split).select("transaction_id", "is_test", *FEATURES), 5)
 
@@ -521,50 +522,45 @@ def _plain(name: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in name).lower()
 
 
+@cache
 def _fitted(spark, sf_dir):
-    rows = model.model_rows(labelled_features(tables.txn_events(spark, sf_dir))).persist()
-    split = sampling.stratified_split(rows).persist()
-    fitted = model.train(split.where(~F.col("is_test")))
-    return fitted, split.where("is_test")
+    """Model and scored test rows, with the payments they belong to; fitted once per session."""
+    txn = _accidents(spark, sf_dir)
+    fitted, scored = train.fit(txn)
+    shown = ["transaction_id", *[c for c in txn.columns if c not in (*scored.columns,)]]
+    return fitted, scored, scored.join(txn.select(*shown), "transaction_id")
 
 
 @query
 def train_score(spark, sf_dir):
-    fitted, test = _fitted(spark, sf_dir)
-    scored = model.score(fitted, test)
+    _, scored, _ = _fitted(spark, sf_dir)
     return scored.select("transaction_id", LABEL, evaluate.PREDICTION, evaluate.PROBABILITY)
 
 
 @query
 def flagged_txn(spark, sf_dir):
-    fitted, test = _fitted(spark, sf_dir)
-    return evaluate.flagged(model.score(fitted, test))
+    return evaluate.flagged(_fitted(spark, sf_dir)[2])
 
 
 @query
 def validation_view(spark, sf_dir):
-    fitted, test = _fitted(spark, sf_dir)
-    return evaluate.validation_view(model.score(fitted, test))
+    return evaluate.validation_view(_fitted(spark, sf_dir)[2])
 
 
 @query
 def feature_importance(spark, sf_dir):
-    fitted, test = _fitted(spark, sf_dir)
+    fitted, scored, _ = _fitted(spark, sf_dir)
     gain = model.feature_importance(fitted, spark)
-    return gain.join(model.permutation_importance(fitted, test), "feature")
+    return gain.join(model.permutation_importance(fitted, scored), "feature")
 
 
 @query
 def model_roundtrip(spark, sf_dir):
-    import uuid
-
-    from pyspark.ml import PipelineModel
-
-    fitted, test = _fitted(spark, sf_dir)
+    fitted, scored, _ = _fitted(spark, sf_dir)
     path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     fitted.write().overwrite().save(path)
-    scored = model.score(PipelineModel.load(path), test)
-    return scored.select("transaction_id", evaluate.PREDICTION, evaluate.PROBABILITY)
+    again = model.score(PipelineModel.load(path), scored.select("transaction_id", *FEATURES))
+    return again.select("transaction_id", evaluate.PREDICTION, evaluate.PROBABILITY)
 
 
 for _long, _short in [

@@ -20,6 +20,7 @@ from txnlens.functions.draws import (
     draw,
     phone_number,
     pick,
+    values_array,
     weighted_pick,
     whole,
 )
@@ -58,7 +59,7 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
         .withColumns(
-            {"k": k, "transaction_type": weighted_pick(TYPE_WEIGHT, draw("type", "event_id"))}
+            {"k": k, "transaction_type": weighted_pick(TYPE_WEIGHT, "type", "event_id")}
         )
         .withColumn("recipient_entity", F.coalesce(account, F.col("event_type")))
         .select(
@@ -70,7 +71,7 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "transaction_type",
             F.col("value").alias("amount"),
             *_no_flags(),
-            F.element_at(F.array(*map(F.lit, CITIES)), F.pmod("k", F.lit(20)) + 1).alias("city"),
+            F.element_at(values_array(CITIES), F.pmod("k", F.lit(20)) + 1).alias("city"),
             F.when(kind == WALLET, "Person-to-Person")
             .when(kind == ACH, "Friend/Family Transfer")
             .otherwise(F.col("event_type"))
@@ -130,13 +131,14 @@ def bank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "events")
-        .withColumns({"customer_id": user, "_phone": phone_number("phone", user)})
+        .withColumn("customer_id", user)
+        .withColumn("_phone", phone_number("phone", "customer_id"))
         .select(
             "customer_id",
             F.concat("customer_id", F.lit("-"), zero_pad("event_id", 8)).alias("transaction_id"),
             minutes.cast("int").alias("step"),
             F.col("value").alias("amount"),
-            pick(BANK_CITIES, draw("bank-city", "customer_id")).alias("city"),
+            pick(BANK_CITIES, "bank-city", "customer_id").alias("city"),
             account_number("account", "event_id").alias("receiver_account"),
             written.alias("receiver_phone"),
         )
