@@ -217,11 +217,14 @@ def inject_locations(
 
 
 def inject_phones(
-    df: DataFrame, column: str = "receiver_phone", share: float = ANOMALY_SHARE
+    df: DataFrame,
+    column: str = "receiver_phone",
+    share: float = ANOMALY_SHARE,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Give a share of the rows another phone number."""
     return (
-        mark_share(df, "_phone", "phone-anomaly", share)
+        mark_share(df, "_phone", "phone-anomaly", share, base)
         .withColumn(
             column, F.when(F.col("_phone"), phone_number("new-phone", ID)).otherwise(F.col(column))
         )

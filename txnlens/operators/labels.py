@@ -9,7 +9,7 @@ from txnlens.functions.calendar import SECOND
 from txnlens.functions.text import differs, is_digits, normalize_phone
 from txnlens.operators.joins import group_mean, join_by_key, lookup
 from txnlens.operators.prefix import before
-from txnlens.operators.skew import CHUNK_ROWS, CROWDED_ROWS, by_customer
+from txnlens.operators.skew import CHUNK_ROWS, CROWDED_ROWS, by_customer, stage
 
 
 def above_mean(times: float) -> Column:
@@ -105,6 +105,7 @@ def typo_candidates(txn: DataFrame) -> DataFrame:
         .groupBy("customer_id", "recipient_entity")
         .agg(F.min("timestamp").alias("first_seen"), F.count(F.lit(1)).alias("payments"))
     )
+    accounts = stage(accounts, "accounts")  # paired with itself: summed up once, read twice
     length = F.length("recipient_entity")
     pairs = F.flatten(
         F.transform(

@@ -26,15 +26,21 @@ def mark_smallest(
     seed: str,
     key: str = "transaction_id",
     stratum: Column | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Flag exactly ``wanted(rows of the stratum)`` rows, chosen by hash.
 
-    ``stratum`` must have few values, like a 0/1 label: one row for each is broadcast.
+    ``stratum`` must have few values, like a 0/1 label: one row for each is broadcast. ``base``
+    holds the same keys with less work behind them; the cut is found in it.
     """
-    stratum = F.lit(0) if stratum is None else stratum
-    hashed = df.withColumns({"_stratum": stratum, "_hash": hash_number(seed, key)})
-    slim = hashed.select("_stratum", "_hash", key).withColumn(
-        "_range", F.shiftright("_hash", _RANGE_BITS)
+    marks = {
+        "_stratum": F.lit(0) if stratum is None else stratum,
+        "_hash": hash_number(seed, key),
+    }
+    slim = (
+        (base or df)
+        .withColumns(marks)
+        .select("_stratum", "_hash", key, F.shiftright("_hash", _RANGE_BITS).alias("_range"))
     )
     group = Window.partitionBy("_stratum")
     counts = (
@@ -58,15 +64,22 @@ def mark_smallest(
     )
     inside = F.struct("_hash", F.col(key)) <= F.col("_cut")
     return (
-        hashed.join(F.broadcast(cut), "_stratum", "left")
+        df.withColumns(marks)
+        .join(F.broadcast(cut), "_stratum", "left")
         .withColumn(flag, F.coalesce(inside, F.lit(False)))
         .drop("_stratum", "_hash", "_cut")
     )
 
 
-def mark_share(df: DataFrame, flag: str, seed: str, share: float = ANOMALY_SHARE) -> DataFrame:
+def mark_share(
+    df: DataFrame,
+    flag: str,
+    seed: str,
+    share: float = ANOMALY_SHARE,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """Flag a fixed share of the rows, rounded down."""
-    return mark_smallest(df, flag, lambda n: F.floor(n * share), seed)
+    return mark_smallest(df, flag, lambda n: F.floor(n * share), seed, base=base)
 
 
 def sample_rows(df: DataFrame, seed: str = "sample", share: float = ANOMALY_SHARE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Plans that several queries and jobs share."""
+"""Predictions by a fixed rule."""
 
 from __future__ import annotations
 
@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.operators.evaluate import PREDICTION, PROBABILITY
-from txnlens.operators.features import add_features
-from txnlens.operators.inject import inject_accidents
 from txnlens.operators.model import complete_rows
 
 
-def labelled_features(txn: DataFrame) -> DataFrame:
-    """Features of a payment table with accidents put in."""
-    return add_features(inject_accidents(txn))
-
-
 def rule_scores(featured: DataFrame) -> DataFrame:
     """A fixed rule in place of a model: fast repeats and amounts far off the usual.
 

@@ -15,10 +15,10 @@ from txnlens.functions.calendar import calendar_columns, intensity, iso_text, st
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
 from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling
-from txnlens.operators.skew import by_customer, shared_folder
+from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
 from txnlens.plans import train
-from txnlens.plans.features import labelled_features, rule_scores
+from txnlens.plans.rules import rule_scores
 from txnlens.plans.train import split_rows
 from txnlens.schema import ensure_columns, normalize
 from txnlens.sources import csv, tables
@@ -40,16 +40,23 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+@cache
+def _txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.txn_events(spark, sf_dir)
+
+
+@cache
 def _accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inject.inject_accidents(tables.txn_events(spark, sf_dir))
+    """Payments with accidents put in: the plan is built once, nothing is kept of its rows."""
+    return inject.inject_accidents(_txn(spark, sf_dir))
 
 
 def _rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_scores(labelled_features(tables.txn_events(spark, sf_dir)))
+    return rule_scores(features.add_features(_accidents(spark, sf_dir)))
 
 
 def _homed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inject.with_usual_city(tables.txn_events(spark, sf_dir))
+    return inject.with_usual_city(_txn(spark, sf_dir))
 
 
 # --- sources and cleaning ----------------------------------------------------------------------
@@ -58,14 +65,14 @@ def _homed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_roundtrip(spark, sf_dir):
     path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
-    csv.write_csv(tables.txn_events(spark, sf_dir), path)
+    csv.write_csv(_txn(spark, sf_dir), path)
     back = csv.read_transactions(spark, path)
     return back.withColumn("timestamp", iso_text("timestamp"))
 
 
 @query
 def ensure_columns_query(spark, sf_dir):
-    bare = tables.txn_events(spark, sf_dir).select("transaction_id", "amount")
+    bare = _txn(spark, sf_dir).select("transaction_id", "amount")
     full = normalize(ensure_columns(bare))
     return full.withColumn("timestamp", iso_text("timestamp"))
 
@@ -96,19 +103,19 @@ def filter_accidents(spark, sf_dir):
 
 @query
 def complete_rows(spark, sf_dir):
-    featured = features.add_features(tables.txn_events(spark, sf_dir))
+    featured = features.add_features(_txn(spark, sf_dir))
     return model.complete_rows(featured).select("transaction_id")
 
 
 @query
 def preview_txn(spark, sf_dir):
-    txn = tables.txn_events(spark, sf_dir)
+    txn = _txn(spark, sf_dir)
     return profile.preview_txn(txn, 10, last=True).select("transaction_id", "amount", "city")
 
 
 @query
 def null_profile(spark, sf_dir):
-    bare = tables.txn_events(spark, sf_dir).select(
+    bare = _txn(spark, sf_dir).select(
         "customer_id",
         "transaction_type",
         F.when(F.col("amount") < 100, F.col("amount")).alias("amount"),
@@ -120,13 +127,13 @@ def null_profile(spark, sf_dir):
 
 @query
 def calendar_features(spark, sf_dir):
-    txn = tables.txn_events(spark, sf_dir)
+    txn = _txn(spark, sf_dir)
     return txn.withColumns(calendar_columns()).select("transaction_id", *calendar_columns())
 
 
 @query
 def calendar_intensity(spark, sf_dir):
-    txn = tables.txn_events(spark, sf_dir)
+    txn = _txn(spark, sf_dir)
     return rounded(txn.select("transaction_id", intensity().alias("intensity")))
 
 
@@ -151,39 +158,39 @@ def normalize_phone_query(spark, sf_dir):
 
 @query
 def txn_per_day(spark, sf_dir):
-    df = profile.txn_per_day(tables.txn_events(spark, sf_dir))
+    df = profile.txn_per_day(_txn(spark, sf_dir))
     return df.withColumn("day", F.col("day").cast("string"))
 
 
 @query
 def txn_per_week(spark, sf_dir):
-    df = profile.txn_per_week(tables.txn_events(spark, sf_dir))
+    df = profile.txn_per_week(_txn(spark, sf_dir))
     return df.withColumn("week", F.col("week").cast("string"))
 
 
 @query
 def txn_per_customer(spark, sf_dir):
-    return profile.txn_per_customer(tables.txn_events(spark, sf_dir))
+    return profile.txn_per_customer(_txn(spark, sf_dir))
 
 
 @query
 def top_customers(spark, sf_dir):
-    return profile.top_customers(tables.txn_events(spark, sf_dir))
+    return profile.top_customers(_txn(spark, sf_dir))
 
 
 @query
 def top_entity_types(spark, sf_dir):
-    return profile.top_entity_types(tables.txn_events(spark, sf_dir))
+    return profile.top_entity_types(_txn(spark, sf_dir))
 
 
 @query
 def top_recipients(spark, sf_dir):
-    return profile.top_values(tables.txn_events(spark, sf_dir), "recipient_entity", 5)
+    return profile.top_values(_txn(spark, sf_dir), "recipient_entity", 5)
 
 
 @query
 def distinct_customers(spark, sf_dir):
-    return profile.distinct_customers(tables.txn_events(spark, sf_dir))
+    return profile.distinct_customers(_txn(spark, sf_dir))
 
 
 @query
@@ -198,12 +205,12 @@ def accident_totals(spark, sf_dir):
 
 @query
 def amount_summary(spark, sf_dir):
-    return rounded(profile.number_summary(tables.txn_events(spark, sf_dir)))
+    return rounded(profile.number_summary(_txn(spark, sf_dir)))
 
 
 @query
 def na_drop_report(spark, sf_dir):
-    featured = features.add_features(tables.txn_events(spark, sf_dir))
+    featured = features.add_features(_txn(spark, sf_dir))
     return profile.drop_report(featured, FEATURES)
 
 
@@ -219,13 +226,13 @@ def home_city_overall(spark, sf_dir):
 
 @query
 def first_transfer(spark, sf_dir):
-    first = joins.first_transfer(tables.txn_events(spark, sf_dir))
+    first = joins.first_transfer(_txn(spark, sf_dir))
     return first.withColumn("first_timestamp", F.unix_micros("first_timestamp"))
 
 
 @query
 def amount_vs_mean(spark, sf_dir):
-    df = joins.with_group_mean(tables.txn_events(spark, sf_dir))
+    df = joins.with_group_mean(_txn(spark, sf_dir))
     return rounded(
         df.select(
             "transaction_id",
@@ -237,12 +244,12 @@ def amount_vs_mean(spark, sf_dir):
 
 @query
 def amount_gap_bins(spark, sf_dir):
-    return profile.amount_gap_bins(labelled_features(tables.txn_events(spark, sf_dir)))
+    return profile.amount_gap_bins(features.add_features(_accidents(spark, sf_dir)))
 
 
 @query
 def union_batches(spark, sf_dir):
-    days = tables.txn_events(spark, sf_dir).withColumn("_day", F.dayofmonth("timestamp"))
+    days = _txn(spark, sf_dir).withColumn("_day", F.dayofmonth("timestamp"))
     early, late = days.where("_day <= 15"), days.where("_day > 15")
     both = late.unionByName(early)
     return both.groupBy("customer_id").agg(
@@ -271,26 +278,26 @@ def _rolling(df):
 
 
 def _resent(spark, sf_dir):
-    return tables.with_resends(tables.txn_events(spark, sf_dir))
+    return tables.with_resends(_txn(spark, sf_dir))
 
 
 for _name, _columns, _build, _source in [
     *[
-        (span, [span], lambda df, span=span: span_columns(df, [span]), tables.txn_events)
+        (span, [span], lambda df, span=span: span_columns(df, [span]), _txn)
         for span in ("mean_24hr", "stddev_30day", "max_amount_7day")
     ],
-    ("time_since_last_txn", ["time_since_last_txn"], features.gap_since_last, tables.txn_events),
+    ("time_since_last_txn", ["time_since_last_txn"], features.gap_since_last, _txn),
     (
         "recipient_rolling",
         ["mean_amount_rolling", "std_amount_rolling"],
         _rolling,
-        tables.txn_events,
+        _txn,
     ),
     (
         "amount_deviation",
         ["amount_deviation_rolling"],
         lambda df: features.amount_deviation(_rolling(df)),
-        tables.txn_events,
+        _txn,
     ),
     ("is_new_recipient", ["is_new_recipient"], features.recipient_history, tables.txn_orders),
     (
@@ -303,13 +310,13 @@ for _name, _columns, _build, _source in [
         "time_of_day_norm",
         ["time_deviation_from_user_norm"],
         features.recipient_history,
-        tables.txn_events,
+        _txn,
     ),
     (
         "first_seen_location",
         ["is_unusual_location_for_user"],
         features.first_seen_location,
-        tables.txn_events,
+        _txn,
     ),
 ]:
     _feature_query(_name, _columns, _build, _source)
@@ -323,7 +330,7 @@ def target_label(spark, sf_dir):
 
 @query
 def feature_table(spark, sf_dir):
-    featured = features.add_features(tables.txn_events(spark, sf_dir))
+    featured = features.add_features(_txn(spark, sf_dir))
     return rounded(featured.select("customer_id", "transaction_id", *FEATURES, LABEL))
 
 
@@ -339,7 +346,7 @@ def feature_table_orders(spark, sf_dir):
 
 @query
 def inject_burst(spark, sf_dir):
-    df = inject.inject_bursts(tables.txn_events(spark, sf_dir))
+    df = inject.inject_bursts(_txn(spark, sf_dir))
     return df.select(
         "customer_id",
         "transaction_id",
@@ -355,13 +362,13 @@ def inject_burst(spark, sf_dir):
 
 @query
 def inject_high_amount(spark, sf_dir):
-    df = inject.mark_high_amounts(inject.mark_bursts(tables.txn_events(spark, sf_dir)))
+    df = inject.mark_high_amounts(inject.mark_bursts(_txn(spark, sf_dir)))
     return df.select("transaction_id", "amount", "is_accident_burst", "is_high_amount_accident")
 
 
 @query
 def inject_typo(spark, sf_dir):
-    marked = inject.mark_high_amounts(inject.mark_bursts(tables.txn_events(spark, sf_dir)))
+    marked = inject.mark_high_amounts(inject.mark_bursts(_txn(spark, sf_dir)))
     return inject.mark_typos(marked).select(
         "transaction_id",
         "recipient_entity",
@@ -378,7 +385,7 @@ def inject_location(spark, sf_dir):
 
 @query
 def sample_rows(spark, sf_dir):
-    return sampling.sample_rows(tables.txn_events(spark, sf_dir)).select("transaction_id")
+    return sampling.sample_rows(_txn(spark, sf_dir)).select("transaction_id")
 
 
 @query
@@ -392,7 +399,7 @@ def sticky_attribute(spark, sf_dir):
 
 @query
 def weighted_pick_query(spark, sf_dir):
-    return tables.txn_events(spark, sf_dir).select(
+    return _txn(spark, sf_dir).select(
         "transaction_id",
         weighted_pick(CITY_POPULATION, "pick-city", "transaction_id").alias("city"),
         weighted_pick(TYPE_WEIGHT, "pick-type", "transaction_id").alias("kind"),
@@ -402,7 +409,7 @@ def weighted_pick_query(spark, sf_dir):
 def _bank(spark, sf_dir):
     """The bank table before and after anomalies are put in."""
     bank = tables.bank_events(spark, sf_dir)
-    return bank, inject.inject_phones(inject.inject_locations(bank, BANK_CITIES))
+    return bank, inject.inject_phones(inject.inject_locations(bank, BANK_CITIES), base=bank)
 
 
 @query
@@ -473,7 +480,7 @@ def recall(spark, sf_dir):
 @query
 def risk_band_query(spark, sf_dir):
     share = F.round(draw("risk", "transaction_id"), 4)
-    txn = tables.txn_events(spark, sf_dir).select("transaction_id", share.alias("probability"))
+    txn = _txn(spark, sf_dir).select("transaction_id", share.alias("probability"))
     return txn.withColumn("risk", risk_band("probability"))
 
 
@@ -497,20 +504,21 @@ def flagged_report(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
-    labelled = features.target_label(_accidents(spark, sf_dir))
+    labelled = features.target_label(_accidents(spark, sf_dir)).select("transaction_id", LABEL)
+    labelled = stage(labelled, "labels")  # read three times
     return sampling.stratified_split(labelled).select("transaction_id", LABEL, "is_test")
 
 
 @query
 def standardize(spark, sf_dir):
-    split = split_rows(labelled_features(tables.txn_events(spark, sf_dir)))
+    split = split_rows(features.add_features(_accidents(spark, sf_dir)))
     scale = model.fit_scale(split.where(~F.col("is_test")))
     return rounded(scale.apply(split).select("transaction_id", "is_test", *FEATURES), 5)
 
 
 @query
 def one_hot(spark, sf_dir):
-    txn = tables.txn_events(spark, sf_dir)
+    txn = _txn(spark, sf_dir)
     columns = ["transaction_type", "city", "entity_type"]
     encoded = profile.one_hot(txn.select("transaction_id", *columns), columns)
     names = {c: _plain(c) for c in encoded.columns}

@@ -46,7 +46,7 @@ def txn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     The type of payment is drawn by its weight. Transfers go to one of a few account numbers
     of the customer, everything else to the event type.
     """
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.regexp_extract("props", '"k": *([0-9]+)', 1).cast("int")
     kind = F.col("transaction_type")
     account = (
         F.when(
