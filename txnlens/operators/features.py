@@ -1,60 +1,88 @@
 """The row features of a payment: what it looks like against the customer's history.
 
-Each function adds columns to rows prepared by ``by_customer``. The order of the calls in
-``history`` is a design rule: customer windows come first, so their one exchange by customer also
-serves the windows by (customer, recipient), (customer, recipient, amount) and (customer, city).
+A feature is made in two steps on rows prepared by ``by_customer``: aggregates over earlier rows
+(``last_payment`` and its like), then columns from them (``gap_columns``). The order in ``history``
+is a design rule: customer windows come first, so their one exchange by customer also serves the
+windows by (customer, recipient), (customer, recipient, amount) and (customer, city).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.constants import FEATURES, FLAGS, LABEL
 from txnlens.functions.calendar import MINUTE, SECOND, calendar_columns, seconds_since_midnight
-from txnlens.operators.prefix import before, recent
-from txnlens.operators.skew import CHUNK_ROWS, CROWDED_ROWS, by_customer
+from txnlens.operators.prefix import Earlier, before, recent
+from txnlens.operators.skew import CHUNK, CHUNK_ROWS, CROWDED_ROWS, by_customer
 from txnlens.operators.spans import span_columns
 
 RECIPIENT = ["customer_id", "recipient_entity"]
 
 
-def gap_since_last(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Seconds since the customer's previous payment, -1 for the first."""
-    gap = (F.col("_us") - F.col("_last_us")) / SECOND
-    return (
-        before(df, ["customer_id"], base, _last_us=("max", F.col("_us")))
-        .withColumn("time_since_last_txn", F.coalesce(gap, F.lit(-1.0)))
-        .drop("_last_us")
-    )
+def _us() -> Column:
+    return F.col("_us")
 
 
-def recipient_history(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """First payment to a recipient, and how far the time of day is from the usual one."""
-    sod = seconds_since_midnight()
-    prior = before(
-        df,
+def last_payment() -> Earlier:
+    return Earlier(["customer_id"], {"_last_us": ("max", _us())})
+
+
+def recipient_payments() -> Earlier:
+    return Earlier(
         RECIPIENT,
-        base,
-        _paid_before=("count", F.lit(1)),
-        _first_us=("min", F.col("_us")),
-        _sod=("sum", sod),
+        {
+            "_paid_before": ("count", F.lit(1)),
+            "_first_us": ("min", _us()),
+            "_sod": ("sum", seconds_since_midnight()),
+        },
     )
+
+
+def same_payments() -> Earlier:
+    return Earlier([*RECIPIENT, "amount"], {"_last_same_us": ("max", _us())})
+
+
+def city_payments() -> Earlier:
+    return Earlier(["customer_id", "city"], {"_seen": ("count", F.lit(1))})
+
+
+def gap_columns() -> dict[str, Column]:
+    """Seconds since the customer's previous payment, -1 for the first."""
+    gap = (_us() - F.col("_last_us")) / SECOND
+    return {"time_since_last_txn": F.coalesce(gap, F.lit(-1.0))}
+
+
+def recipient_columns() -> dict[str, Column]:
+    """First payment to a recipient, and how far the time of day is from the usual one."""
     norm = F.try_divide(F.col("_sod"), F.col("_paid_before"))
-    return prior.withColumns(
-        {
-            "is_new_recipient": F.coalesce(F.col("_us") == F.col("_first_us"), F.lit(True)).cast(
-                "int"
-            ),
-            "time_deviation_from_user_norm": F.abs(sod - norm),
-        }
-    ).drop("_first_us", "_sod")
+    new = F.coalesce(_us() == F.col("_first_us"), F.lit(True))
+    return {
+        "is_new_recipient": new.cast("int"),
+        "time_deviation_from_user_norm": F.abs(seconds_since_midnight() - norm),
+    }
+
+
+def duplicate_columns(minutes: float = 1) -> dict[str, Column]:
+    """Flag a payment that repeats one of the last minutes: same recipient, same amount.
+
+    Simultaneous payments are not flagged.
+    """
+    near = (_us() - F.col("_last_same_us")).between(1, int(minutes * MINUTE))
+    return {
+        "is_duplicate_transaction_within_X_minutes": F.coalesce(near, F.lit(False)).cast("int")
+    }
+
+
+def location_columns() -> dict[str, Column]:
+    """Flag the customer's first payment in a city."""
+    return {"is_unusual_location_for_user": (F.col("_seen") == 0).cast("int")}
 
 
 def recipient_rolling(df: DataFrame, rows: int = 30, block_rows: int = CHUNK_ROWS) -> DataFrame:
     """Mean and sample deviation of the last ``rows`` earlier payments to the recipient.
 
-    ``recipient_history`` has to come first: it counts the earlier payments.
+    It needs ``_paid_before`` of ``recipient_payments``.
     """
     return recent(
         df,
@@ -66,44 +94,18 @@ def recipient_rolling(df: DataFrame, rows: int = 30, block_rows: int = CHUNK_ROW
             "std_amount_rolling": F.stddev_samp("amount"),
         },
         block_rows,
-    ).drop("_paid_before")
+    )
 
 
-def amount_deviation(df: DataFrame) -> DataFrame:
+def deviation_columns() -> dict[str, Column]:
     """How many deviations the amount is off; 0 where that is undefined."""
     off = F.col("amount") - F.col("mean_amount_rolling")
     std = F.col("std_amount_rolling")
-    return df.withColumn(
-        "amount_deviation_rolling",
-        F.coalesce(F.when(std > 0, F.try_divide(off, std)), F.lit(0.0)),
-    )
-
-
-def duplicate_within(
-    df: DataFrame, minutes: float = 1, base: DataFrame | None = None
-) -> DataFrame:
-    """Flag a payment that repeats one of the last minutes: same recipient, same amount.
-
-    Simultaneous payments are not flagged.
-    """
-    gap = F.col("_us") - F.col("_last_same_us")
-    return (
-        before(df, [*RECIPIENT, "amount"], base, _last_same_us=("max", F.col("_us")))
-        .withColumn(
-            "is_duplicate_transaction_within_X_minutes",
-            F.coalesce(gap.between(1, int(minutes * MINUTE)), F.lit(False)).cast("int"),
+    return {
+        "amount_deviation_rolling": F.coalesce(
+            F.when(std > 0, F.try_divide(off, std)), F.lit(0.0)
         )
-        .drop("_last_same_us")
-    )
-
-
-def first_seen_location(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Flag the customer's first payment in a city."""
-    return (
-        before(df, ["customer_id", "city"], base, _seen=("count", F.lit(1)))
-        .withColumn("is_unusual_location_for_user", (F.col("_seen") == 0).cast("int"))
-        .drop("_seen")
-    )
+    }
 
 
 def target_label(df: DataFrame) -> DataFrame:
@@ -124,16 +126,23 @@ def add_features(
     Training and scoring both call this, so a feature cannot mean two things.
     """
 
+    others = [recipient_payments(), same_payments(), city_payments()]
+
     def history(rows: DataFrame) -> DataFrame:
-        df = gap_since_last(rows, rows)
-        df = span_columns(df, base=rows)
-        df = recipient_history(df, rows)
-        df = recipient_rolling(df, block_rows=chunk_rows)
-        df = amount_deviation(df)
-        df = duplicate_within(df, duplicate_minutes, rows)
-        return first_seen_location(df, rows)
+        if CHUNK in rows.columns:
+            df = span_columns(before(rows, last_payment(), *others), base=rows)
+        else:
+            # The spans come second: they use the sort order of the customer's payments.
+            df = before(span_columns(before(rows, last_payment())), *others)
+        return recipient_rolling(df, block_rows=chunk_rows).withColumns(
+            gap_columns()
+            | recipient_columns()
+            | duplicate_columns(duplicate_minutes)
+            | location_columns()
+            | deviation_columns()
+        )
 
     featured = by_customer(txn, history, crowded_rows, chunk_rows)
     featured = target_label(featured.withColumns(calendar_columns()))
-    others = [c for c in txn.columns if c not in FEATURES]
-    return featured.select(*others, *FEATURES, LABEL)
+    kept = [c for c in txn.columns if c not in FEATURES]
+    return featured.select(*kept, *FEATURES, LABEL)

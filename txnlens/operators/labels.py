@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from txnlens.functions.calendar import SECOND
 from txnlens.functions.text import differs, is_digits, normalize_phone
 from txnlens.operators.joins import group_mean, join_by_key, lookup
-from txnlens.operators.prefix import before
+from txnlens.operators.prefix import Earlier, before
 from txnlens.operators.skew import CHUNK_ROWS, CROWDED_ROWS, by_customer, stage
 
 
@@ -68,12 +68,12 @@ def burst_groups(
     """Runs of payments of one customer with at most ``gap_seconds`` between neighbours."""
 
     def starts(rows: DataFrame) -> DataFrame:
-        df = before(rows, ["customer_id"], rows, _last_us=("max", F.col("_us")))
+        df = before(rows, Earlier(["customer_id"], {"_last_us": ("max", F.col("_us"))}))
         apart = F.col("_us") - F.col("_last_us") > int(gap_seconds * SECOND)
         begins = F.coalesce(apart, F.lit(True))
-        df = df.withColumn("_begins_us", F.when(begins, F.col("_us"))).drop("_last_us")
-        df = before(df, ["customer_id"], _begun_us=("max", F.col("_begins_us")))
-        return df.withColumn("_group_us", F.coalesce("_begins_us", "_begun_us"))
+        df = df.withColumn("_begins_us", F.when(begins, F.col("_us")))
+        begun = Earlier(["customer_id"], {"_begun_us": ("max", F.col("_begins_us"))})
+        return before(df, begun).withColumn("_group_us", F.coalesce("_begins_us", "_begun_us"))
 
     return (
         by_customer(

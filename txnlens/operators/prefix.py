@@ -2,67 +2,92 @@
 
 Nearly all history features are of one kind: an aggregate over the earlier rows with the same key
 (the customer, plus recipient, amount or city) in (time, id) order. ``before`` computes it with a
-growing window frame, one step per row. If the rows are cut into chunks the frame stays within the
-chunk, and the totals of earlier chunks, one small row per key and chunk, are added.
+growing window frame, one step per row.
+
+If the rows are cut into chunks the frame stays within the chunk. What earlier chunks add up to
+comes as one more row per key and chunk, ahead of the others: the frame takes it in like a row.
+That way the rows are shuffled once, by chunk and customer, for any number of keys.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.operators.skew import CHUNK, ORDER
 
-# name of an aggregate -> (aggregate of rows, aggregate of partial results, sum of two parts)
-_KINDS = {
-    "count": (F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
-    "sum": (F.sum, F.sum, lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, a - a))),
-    "min": (F.min, F.min, F.least),
-    "max": (F.max, F.max, F.greatest),
-}
-
 _EARLIER = (Window.unboundedPreceding, -1)
 
+# How results of parts are put together.
+_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+_AGGREGATE = {**_MERGE, "count": F.count}
 
-def before(
-    df: DataFrame,
-    keys: list[str],
-    base: DataFrame | None = None,
-    **aggregates: tuple[str, Column],
-) -> DataFrame:
-    """Add aggregates over earlier rows with the same keys, null (count: 0) where there are none.
 
-    ``aggregates`` maps a new column to (count | sum | min | max, expression). ``base`` holds the
-    same rows with fewer columns; taking the totals of chunks from it spares them the work that
-    went into ``df``.
+@dataclass(frozen=True)
+class Earlier:
+    """Aggregates over earlier rows with the same keys; the customer is the first key.
+
+    ``aggregates`` maps a new column to (count | sum | min | max, expression). Without earlier
+    rows a count is 0 and the others are null.
     """
-    split = CHUNK in df.columns
-    group = [CHUNK, *keys] if split else keys
-    frame = Window.partitionBy(*group).orderBy(*ORDER).rowsBetween(*_EARLIER)
-    local = df.withColumns(
-        {name: _KINDS[kind][0](expr).over(frame) for name, (kind, expr) in aggregates.items()}
-    )
-    if not split:
-        return local
 
-    totals = (base or df).groupBy(*group).agg(
-        *[_KINDS[kind][0](expr).alias(name) for name, (kind, expr) in aggregates.items()]
+    keys: list[str]
+    aggregates: dict[str, tuple[str, Column]]
+
+
+def before(df: DataFrame, *groups: Earlier) -> DataFrame:
+    """Add the aggregates of all groups."""
+    if CHUNK in df.columns:
+        return _before_in_chunks(df, groups)
+    for group in groups:
+        frame = Window.partitionBy(*group.keys).orderBy(*ORDER).rowsBetween(*_EARLIER)
+        df = df.withColumns(
+            {
+                name: _AGGREGATE[kind](expr).over(frame)
+                for name, (kind, expr) in group.aggregates.items()
+            }
+        )
+    return df
+
+
+def _carried(df: DataFrame, group: Earlier) -> DataFrame:
+    """What the chunks before each chunk add up to, one row per key and chunk."""
+    totals = df.groupBy(CHUNK, *group.keys).agg(
+        *[_AGGREGATE[kind](expr).alias(name) for name, (kind, expr) in group.aggregates.items()]
     )
-    chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*_EARLIER)
-    carried = totals.select(
-        *group,
-        *[
-            _KINDS[kind][1](name).over(chunks).alias(f"_carried_{name}")
-            for name, (kind, _) in aggregates.items()
-        ],
+    chunks = Window.partitionBy(*group.keys).orderBy(CHUNK).rowsBetween(*_EARLIER)
+    carried = {
+        f"_carried{name}": _MERGE[kind](name).over(chunks)
+        for name, (kind, _) in group.aggregates.items()
+    }
+    return (
+        totals.withColumns(carried)
+        .select(CHUNK, *group.keys, *carried)
+        .where(F.coalesce(*[F.col(c).cast("double") for c in carried]).isNotNull())
+    )
+
+
+def _before_in_chunks(df: DataFrame, groups: tuple[Earlier, ...]) -> DataFrame:
+    rows = df.withColumn("_carries", F.lit(None).cast("int"))
+    for i, group in enumerate(groups):
+        extra = _carried(df, group).withColumn("_carries", F.lit(i))
+        rows = rows.unionByName(extra, allowMissingColumns=True)
+    is_row = F.col("_carries").isNull()
+    for i, group in enumerate(groups):
+        # Carried rows have neither time nor id, so they sort first.
+        frame = Window.partitionBy(CHUNK, *group.keys).orderBy(*ORDER).rowsBetween(*_EARLIER)
+        columns = {}
+        for name, (kind, expr) in group.aggregates.items():
+            own = F.when(expr.isNotNull(), 1) if kind == "count" else expr
+            value = F.when(is_row, own).when(F.col("_carries") == i, F.col(f"_carried{name}"))
+            merged = _MERGE[kind](value).over(frame)
+            columns[name] = F.coalesce(merged, F.lit(0)) if kind == "count" else merged
+        rows = rows.withColumns(columns)
+    return rows.where(is_row).select(
+        *df.columns, *[name for group in groups for name in group.aggregates]
     )
-    joined = local.join(carried, group, "left")
-    return joined.withColumns(
-        {
-            name: _KINDS[kind][2](F.col(f"_carried_{name}"), F.col(name))
-            for name, (kind, _) in aggregates.items()
-        }
-    ).drop(*[f"_carried_{name}" for name in aggregates])
 
 
 def recent(

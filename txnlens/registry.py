@@ -15,6 +15,7 @@ from txnlens.functions.calendar import calendar_columns, intensity, iso_text, st
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
 from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling
+from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
 from txnlens.plans import train
@@ -274,48 +275,58 @@ def _feature_query(name, columns, build, source):
 
 
 def _rolling(df):
-    return features.recipient_rolling(features.recipient_history(df))
+    return features.recipient_rolling(before(df, features.recipient_payments()))
 
 
 def _resent(spark, sf_dir):
     return tables.with_resends(_txn(spark, sf_dir))
 
 
+def _simple(earlier, columns):
+    """A feature of one group of earlier rows."""
+    return lambda df: before(df, earlier()).withColumns(columns())
+
+
 for _name, _columns, _build, _source in [
     *[
         (span, [span], lambda df, span=span: span_columns(df, [span]), _txn)
         for span in ("mean_24hr", "stddev_30day", "max_amount_7day")
     ],
-    ("time_since_last_txn", ["time_since_last_txn"], features.gap_since_last, _txn),
     (
-        "recipient_rolling",
-        ["mean_amount_rolling", "std_amount_rolling"],
-        _rolling,
+        "time_since_last_txn",
+        ["time_since_last_txn"],
+        _simple(features.last_payment, features.gap_columns),
         _txn,
     ),
+    ("recipient_rolling", ["mean_amount_rolling", "std_amount_rolling"], _rolling, _txn),
     (
         "amount_deviation",
         ["amount_deviation_rolling"],
-        lambda df: features.amount_deviation(_rolling(df)),
+        lambda df: _rolling(df).withColumns(features.deviation_columns()),
         _txn,
     ),
-    ("is_new_recipient", ["is_new_recipient"], features.recipient_history, tables.txn_orders),
+    (
+        "is_new_recipient",
+        ["is_new_recipient"],
+        _simple(features.recipient_payments, features.recipient_columns),
+        tables.txn_orders,
+    ),
     (
         "duplicate_within",
         ["is_duplicate_transaction_within_X_minutes"],
-        features.duplicate_within,
+        _simple(features.same_payments, features.duplicate_columns),
         _resent,
     ),
     (
         "time_of_day_norm",
         ["time_deviation_from_user_norm"],
-        features.recipient_history,
+        _simple(features.recipient_payments, features.recipient_columns),
         _txn,
     ),
     (
         "first_seen_location",
         ["is_unusual_location_for_user"],
-        features.first_seen_location,
+        _simple(features.city_payments, features.location_columns),
         _txn,
     ),
 ]:

@@ -8,15 +8,14 @@ from pyspark.sql import SparkSession
 def job_session(name: str) -> SparkSession:
     """A session with the settings the operators are laid out for.
 
-    Master, memory and the checkpoint folder come from spark-submit. Joins of chunked rows are by
-    keys that all contain the chunk and the customer; letting them share a partitioning by fewer
-    keys saves shuffles.
+    Master, memory and the checkpoint folder come from spark-submit. Joins have to be partitioned
+    by all of their keys: by the customer alone, a crowded one would be in one task again.
     """
     return (
         SparkSession.builder.appName(name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "true")
         .getOrCreate()
     )
