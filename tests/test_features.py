@@ -167,6 +167,23 @@ def test_chunks_change_nothing(payments, seed, crowded, chunk):
         assert (plain[name].astype(float) - split[name].astype(float)).abs().max() < 1e-6, name
 
 
+def test_many_crowded_customers(payments, monkeypatch):
+    from txnlens.operators import skew
+
+    txn = _random_payments(payments, 8, 150)
+    plain = add_features(txn).orderBy("transaction_id").collect()
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 1)
+    split = add_features(txn, crowded_rows=10, chunk_rows=30).orderBy("transaction_id").collect()
+    exact = ["transaction_id", "time_since_last_txn", "mean_amount_rolling", "is_new_recipient"]
+    assert [[r[c] for c in exact] for r in plain] == [[r[c] for c in exact] for r in split]
+
+
+def test_a_payment_without_time_is_an_error(payments):
+    txn = payments([("A", "1", None, 1.0), ("A", "2", "2024-01-01", 1.0)])
+    with pytest.raises(Exception, match="no timestamp"):
+        add_features(txn).collect()
+
+
 def test_order_of_input_rows_does_not_matter(payments):
     txn = _random_payments(payments, 3)
     one = add_features(txn).orderBy("transaction_id").collect()

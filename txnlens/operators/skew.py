@@ -50,14 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crowded_customers(df: DataFrame, limit: int) -> tuple[int, int]:
-    """How many customers have more than ``limit`` rows, and how many rows those are.
+def crowded_customers(df: DataFrame, limit: int) -> dict[str, int]:
+    """Customers with more than ``limit`` rows and how many they have, the largest first.
 
-    One pass over the customer column alone; counts are summed before the shuffle.
+    One pass over the customer column alone; counts are summed before the shuffle. At most one
+    more than ``BROADCAST_KEYS`` are returned.
     """
     counts = df.groupBy("customer_id").count().where(F.col("count") > limit)
-    keys, rows = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    return keys, rows
+    largest = counts.orderBy(F.desc("count"), "customer_id").limit(BROADCAST_KEYS + 1)
+    return {row[0]: row[1] for row in largest.collect()}
 
 
 def chunked(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -81,19 +82,15 @@ def by_customer(
     ``build`` gets rows with ``_us``; those of crowded customers carry ``_chunk`` too. The
     operators it is made of look at that column and choose their plan.
     """
-    df = df.withColumn("_us", micros())
-    keys, rows = crowded_customers(df, crowded_rows)
-    if not keys:
-        return build(df).drop("_us")
-    if keys > BROADCAST_KEYS:
-        return build(chunked(df, df.count(), chunk_rows)).drop("_us", CHUNK)
-    counts = df.groupBy("customer_id").count().where(F.col("count") > crowded_rows)
-    names = [row[0] for row in counts.select("customer_id").collect()]
-    crowded = F.broadcast(df.sparkSession.createDataFrame([(n,) for n in names], "customer_id string"))
-    calm = df.join(crowded, "customer_id", "left_anti")
-    dense = df.join(crowded, "customer_id", "left_semi")
-    return (
-        build(calm)
-        .unionByName(build(chunked(dense, rows, chunk_rows)).drop(CHUNK))
-        .drop("_us")
-    )
+    missing = F.raise_error(F.lit("a payment has no timestamp")).cast("bigint")
+    timed = df.withColumn("_us", F.coalesce(micros(), missing))
+    crowded = crowded_customers(df, crowded_rows)
+    if not crowded:
+        return build(timed).drop("_us")
+    if len(crowded) > BROADCAST_KEYS:
+        return build(chunked(timed, df.count(), chunk_rows)).drop("_us", CHUNK)
+    names = df.sparkSession.createDataFrame([(n,) for n in crowded], "customer_id string")
+    calm = timed.join(F.broadcast(names), "customer_id", "left_anti")
+    dense = timed.join(F.broadcast(names), "customer_id", "left_semi")
+    split = build(chunked(dense, sum(crowded.values()), chunk_rows)).drop(CHUNK)
+    return build(calm).unionByName(split).drop("_us")

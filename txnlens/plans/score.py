@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from txnlens.operators import evaluate, model
 from txnlens.operators.features import add_features
+from txnlens.operators.skew import stage
 from txnlens.session import job_session
 from txnlens.sources.csv import write_csv, write_json
 from txnlens.sources.files import load
@@ -37,6 +38,8 @@ def main() -> None:
     scored = score(
         load(spark, args.input, args.format), PipelineModel.load(args.model), args.na_policy
     )
+    if args.recall:  # read twice below
+        scored = stage(evaluate.validation_view(scored), "scored")
     flagged = evaluate.flagged(scored)
     if args.output_format == "json":
         write_json(flagged, args.output, mode="overwrite")
