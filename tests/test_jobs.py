@@ -71,3 +71,31 @@ def test_imputing_keeps_first_payments(spark):
 def test_profile_reports(spark):
     for name, report in profile.reports(tables.txn_events(spark, SF)).items():
         assert report.count() > 0, name
+
+
+def test_jobs_from_files_to_files(spark, tmp_path, monkeypatch, capsys):
+    txn = inject.inject_accidents(tables.txn_events(spark, SF))
+    paths = {name: str(tmp_path / name) for name in ("in", "model", "out", "profile")}
+    csv.write_csv(txn, paths["in"])
+
+    def run(job, *words):
+        monkeypatch.setattr("sys.argv", ["job", *words])
+        job.main()
+
+    run(train, paths["in"], paths["model"], "--trees", "2", "--depth", "2", "--na-policy", "impute")
+    run(
+        score,
+        paths["in"],
+        paths["model"],
+        paths["out"],
+        "--output-format",
+        "csv",
+        "--na-policy",
+        "impute",
+        "--recall",
+    )
+    run(profile, paths["in"], paths["profile"])
+    shown = capsys.readouterr().out
+    assert "weighted avg" in shown and "recall" in shown
+    assert {p.name for p in pathlib.Path(paths["profile"]).iterdir()} == set(profile.reports(txn))
+    assert list(pathlib.Path(paths["out"]).glob("*.csv"))
