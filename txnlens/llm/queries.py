@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import chat, exact_dedup, secrets
+from txnlens.llm import bpe, chat, exact_dedup, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, buckets=default_parts(spark))
@@ -26,6 +34,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = token_planes.write_files(docs, BYTE_BPE, default_parts(spark), end_id=0)
+    return token_planes.read_files(files).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = chat.Template()
     extra = spark.sql(
@@ -55,8 +77,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_bpe,
         op4_exact_dedup,
         op5_secret_scan,
+        op8_token_planes,
+        op9_simhash_dedup,
         op10_chat_format,
     )
 }
