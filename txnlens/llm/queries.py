@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, exact_dedup, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, buckets=default_parts(spark))
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), index)
@@ -34,6 +48,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language_id.learn(docs)
+    rows = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.predict(rows, samples).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_planes.write_files(docs, BYTE_BPE, default_parts(spark), end_id=0)
@@ -78,8 +99,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_bpe,
+        op3_decontaminate,
         op4_exact_dedup,
         op5_secret_scan,
+        op7_language_id,
         op8_token_planes,
         op9_simhash_dedup,
         op10_chat_format,
