@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, ngram_lm, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.round("log_score", 4).alias("log_score"),
+        F.round(F.col("log_score") / F.col("n_words"), 6).alias("per_word"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = language_id.learn(docs)
@@ -102,6 +111,7 @@ QUERIES = {
         op3_decontaminate,
         op4_exact_dedup,
         op5_secret_scan,
+        op6_lm_score,
         op7_language_id,
         op8_token_planes,
         op9_simhash_dedup,

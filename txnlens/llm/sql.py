@@ -39,4 +39,36 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-SQL = {"op4_exact_dedup": OP4, "op10_chat_format": OP10}
+OP6 = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), places AS (
+  SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM docs
+), pairs AS (
+  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY place) AS v FROM places
+), counted AS (
+  SELECT doc_id, v, w,
+         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS vw,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c,
+         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others
+  FROM pairs
+), firsts AS (
+  SELECT *, (SELECT count(*) FROM pairs) AS n FROM counted
+), of_first AS (
+  SELECT w AS v, count(*) AS total FROM pairs GROUP BY w
+), own_first AS (
+  SELECT doc_id, w AS v, count(*) AS own FROM pairs GROUP BY ALL
+), scored AS (
+  SELECT f.doc_id,
+         CASE WHEN f.v IS NOT NULL AND vw > 0 THEN ln(vw / (total - own))
+              WHEN c > 0 THEN ln(0.4 * c / greatest(1, others))
+              ELSE ln(0.4 * 0.4 / greatest(1, others)) END AS s
+  FROM firsts f LEFT JOIN of_first USING (v) LEFT JOIN own_first o ON o.doc_id = f.doc_id AND o.v = f.v
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(t, 4) AS log_score, round(t / len(words), 6) AS per_word
+FROM docs LEFT JOIN (SELECT doc_id, sum(s) AS t FROM scored GROUP BY doc_id) USING (doc_id)
+"""
+
+SQL = {"op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
