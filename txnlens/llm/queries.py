@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, ngram_lm, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, ngram_lm, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "n_lines",
+        "n_dropped",
+        "n_linked",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -107,6 +117,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_bpe,
         op3_decontaminate,
         op4_exact_dedup,

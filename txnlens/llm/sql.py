@@ -1,5 +1,35 @@
 """SQL for DuckDB by query name, for the queries that SQL can express."""
 
+OP1 = r"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM raw
+), normal AS (
+  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM lines
+), firsts AS (
+  SELECT norm, min({'doc': doc_id, 'line': line_no}) AS first FROM normal WHERE norm <> '' GROUP BY norm
+), long AS (
+  SELECT *, length(norm) AS n FROM firsts WHERE length(norm) >= 20
+), links AS (
+  SELECT a.first AS a, b.first AS b FROM long a JOIN long b
+  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.norm <> b.norm AND levenshtein(a.norm, b.norm) <= 2
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), keepers AS (
+  SELECT norm, least(first, coalesce(min(b), first)) AS keeper, count(b) > 0 AS linked
+  FROM firsts LEFT JOIN reach ON first = a GROUP BY norm, first
+), judged AS (
+  SELECT doc_id, line_no, line, norm, coalesce(linked, false) AS linked,
+         coalesce(keeper <> {'doc': doc_id, 'line': line_no}, false) AS goes
+  FROM normal LEFT JOIN keepers USING (norm)
+)
+SELECT doc_id, count(*) FILTER (norm <> '') AS n_lines, count(*) FILTER (goes) AS n_dropped,
+       count(*) FILTER (linked) AS n_linked,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT goes), '')) AS text_sha256
+FROM judged GROUP BY doc_id
+"""
+
 OP4 = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (
@@ -71,4 +101,4 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(t, 4) AS log_score,
 FROM docs LEFT JOIN (SELECT doc_id, sum(s) AS t FROM scored GROUP BY doc_id) USING (doc_id)
 """
 
-SQL = {"op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
+SQL = {"op1_line_dedup": OP1, "op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
