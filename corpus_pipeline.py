@@ -1,14 +1,70 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last return
+the columns of documents. ``doc_id`` names a document: rows that share one are kept or dropped
+together, and rows without one are never dropped as copies or as contaminated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from txnlens.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from txnlens.llm.queries import WORD_BPE
 from txnlens.llm.tables import stage, table
 
-STAGES = []
+# Ids of documents that go are sent to all tasks up to this many; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``gone``."""
+    gone = stage(gone.select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; those without a letter go."""
+    found = language_id.predict(docs, language_id.learn(docs))
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that came before; one that loses all its lines stays, empty."""
+    rows = line_dedup.drop_lines(docs)
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("bigint")}
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with near fingerprints, the one with the smallest doc_id."""
+    groups = simhash.near_dedup(docs)
+    return without(docs, groups.where("doc_id <> component_id"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark passages don't make up a twentieth of."""
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, judged.where("contaminated"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and digests of the ids and of the text decoded from them."""
+    decoded = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
+    return bpe.with_digests(decoded).drop("text")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", new_lines),
+    ("simhash_dedup", one_of_each),
+    ("decontamination", clean),
+    ("bpe", tokens),
+]
 
-# Language ID, edit distances and tokenizers are beyond SQL; tests compare with brute force.
+# Language ID, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -235,11 +235,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of both directions: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(docs, path), path).select(
-        "doc_id",
-        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+def with_digests(decoded: DataFrame) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256."""
+    return decoded.withColumns(
+        {
+            "n_tokens": (F.length("ids") / 4).cast("bigint"),
+            "ids_sha256": F.sha2("ids", 256),
+            "decoded_sha256": F.sha2(F.col("text").cast("binary"), 256),
+        }
     )

@@ -24,7 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE)
+    return bpe.with_digests(bpe.decode(encoded, WORD_BPE)).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
