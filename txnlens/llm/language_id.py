@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txnlens.llm.tables import row_blocks
+from txnlens.llm.tables import columns_of, row_blocks
 
 # The learning sample: the start of one document from each of SAMPLE_SLOTS hash slots per language.
 SAMPLE_SLOTS = 64
@@ -116,21 +117,23 @@ class Model:
         self.code = np.zeros(0x110000, np.uint8)
         self.code[common] = np.arange(1, len(common) + 1)
         width = len(common) + 1
-        tables, self.roots, base = [], [], 0
+        tables, self.starts, base = [], [], 0
         for text in texts:
             step = suffix_automaton(self.code[text].tolist())
-            root = np.zeros(width, np.int64)
+            # the last row is where a parse starts and where a letter outside the sample leads: no
+            # phrase goes on from there
+            fresh = np.full(width, len(step), np.int64)
             for c, q in step[0].items():
-                root[c] = q
-            root[0] = 0  # a letter outside the sample ends its phrase
-            table = np.tile(root * 2 * width + base * 2 + 1, (len(step), 1))
+                if c:
+                    fresh[c] = q
+            table = np.tile((fresh * width + base) * 2 + 1, (len(step) + 1, 1))
             rows = np.repeat(np.arange(len(step)), [len(s) for s in step])
             cols = np.array([c for s in step for c in s], np.int64)
             to = np.array([q for s in step for q in s.values()], np.int64)
             known = cols > 0
             table[rows[known], cols[known]] = (to[known] * width + base) * 2
             tables.append(table.ravel())
-            self.roots.append(base)
+            self.starts.append(base + len(step) * width)
             base += table.size
         if base >= 2**30:
             raise ValueError("the languages' samples are too large together")
@@ -139,8 +142,8 @@ class Model:
 
     def phrases(self, segments: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Phrases of each segment (start, size; the longest first) in each language."""
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(segments), axis=1)
-        count = np.ones((len(self.roots), len(segments)), np.int32)
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], len(segments), axis=1)
+        count = np.zeros((len(self.starts), len(segments)), np.int32)
         for t in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -t, "left"))  # segments longer than t
             now = codes[segments[:live] + t]
@@ -185,7 +188,7 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
 def predict(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
     """Every row as a struct ``row``, with lang_pred and score; only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(samples))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
@@ -196,5 +199,7 @@ def predict(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
                 ["row", "lang_pred", "score"],
             )
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    schema = T.StructType(
+        [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
     return rows.mapInArrow(run, schema)
