@@ -192,10 +192,10 @@ def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
         row = own.to_pylist()[0]
         block = Block(row)
         order, _ = block.buckets(buckets)
-        parts = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist()))
+        parts = sorted((r["bucket"], r["totals"]) for r in totals.to_pylist())  # none without words
         counts = np.empty(len(order), np.int64)
         counts[order] = np.concatenate([np.zeros(0, np.int64), *(large(t) for _, t in parts)])
-        scores = document_scores(block, counts, all_words)
+        scores = document_scores(block, counts, all_words).astype(float)  # of no words: integers
         return pa.table(
             {
                 "doc_id": pa.array(row["doc_ids"], pa.int64()),
