@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from txnlens.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from txnlens.llm.queries import WORD_BPE
-from txnlens.llm.tables import stage, table
+from txnlens.llm.tables import columns_of, stage, table
 
 # Ids of documents that go are sent to all tasks up to this many; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -22,7 +22,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``gone``."""
     gone = stage(gone.select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(columns_of(docs))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

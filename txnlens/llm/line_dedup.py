@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.components import connected_components
-from txnlens.llm.tables import default_parts, row_blocks, stage
+from txnlens.llm.tables import columns_of, default_parts, row_blocks, stage
 
 EDITS = 2
 MIN_CHARS = 20
@@ -400,7 +400,7 @@ def duplicates(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> D
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Every row as a struct ``row``, its text without the lines that go, and the counts."""
     facts = stage(duplicates(docs, edits, least), "line_facts")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("full"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").alias("full"))
     joined = rows.join(facts, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
     lines = F.split("full", "\n", -1)
     every = F.sequence(F.lit(0), F.size(lines) - 1)

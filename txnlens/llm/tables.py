@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txnlens.operators.skew import shared_folder, stage
 
-__all__ = ["default_parts", "row_blocks", "shared_folder", "stage", "table"]
+__all__ = ["columns_of", "default_parts", "row_blocks", "shared_folder", "stage", "table"]
 
 BLOCK_BYTES = 6 << 20
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names contain."""
+    return [F.col(f"`{name}`") for name in df.columns]
+
+
 def default_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
