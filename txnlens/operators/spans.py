@@ -29,8 +29,10 @@ SPANS = {"mean_24hr": 1, "max_amount_7day": 7, "stddev_30day": 30}  # days
 
 _ROWS = {"mean_24hr": F.avg, "max_amount_7day": F.max, "stddev_30day": F.stddev_samp}
 
-# Mergeable parts every span aggregate can be finished from.
-_PARTS = {"n": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
+# What a set of amounts is known by: how many, a pivot close to them, the mean's distance from the
+# pivot, the sum of squares around the mean, the smallest and the largest. Differences from a pivot
+# keep the digits that squares of the amounts themselves would lose.
+PARTS = ["n", "p", "d", "v", "lo", "hi"]
 
 
 def span_columns(
@@ -53,19 +55,42 @@ def span_columns(
     )
 
 
+def _offset(pivot: Column) -> Column:
+    """How far the mean of a part lies from a pivot."""
+    return (F.col("p") - pivot) + F.col("d")
+
+
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[agg(part).alias(part) for part, agg in _PARTS.items()])
+    """Put parts with the same keys together; the pivot is their smallest amount."""
+    group = Window.partitionBy(*keys)
+    off = _offset(F.col("_pivot"))
+    return (
+        df.withColumn("_pivot", F.min("lo").over(group))
+        .withColumn("_off", F.coalesce(off, F.lit(0.0)))
+        .withColumn("_mean", F.try_divide(F.sum(F.col("n") * F.col("_off")).over(group), F.sum("n").over(group)))
+        .groupBy(*keys)
+        .agg(
+            F.sum("n").alias("n"),
+            F.min("lo").alias("p"),
+            F.max("_mean").alias("d"),
+            F.sum(F.col("v") + F.col("n") * F.pow(F.col("_off") - F.col("_mean"), 2)).alias("v"),
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+        )
+    )
 
 
-def _siblings(df: DataFrame, width: int, names: list[str], inclusive: bool) -> DataFrame:
-    """Totals among siblings: those before a row, and for each span those after t - span."""
+def _siblings(
+    df: DataFrame, width: int, names: list[str], inclusive: bool, letter: str
+) -> DataFrame:
+    """Parts among siblings: those before a row, and for each span those after t - span."""
     moves = [F.struct(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shift"))]
     moves += [
         F.struct(F.lit(i).alias("kind"), F.lit(SPANS[name] * DAY).cast("bigint").alias("shift"))
         for i, name in enumerate(names, 1)
     ]
     moved = (
-        df.select("customer_id", "_pos", *_PARTS, F.inline(F.array(*moves)))
+        df.select("customer_id", "_pos", *PARTS, F.inline(F.array(*moves)))
         .withColumn("_pos", F.col("_pos") + F.col("shift"))
         .withColumn("_parent", F.col("_pos") - F.pmod("_pos", F.lit(width)))
     )
@@ -74,28 +99,60 @@ def _siblings(df: DataFrame, width: int, names: list[str], inclusive: bool) -> D
     ahead = group.orderBy("_pos", "kind").rowsBetween(start, 0 if inclusive else -1)
     behind = group.orderBy(F.desc("_pos"), "kind").rowsBetween(start, -1)
 
-    def among(kind: int, part: str, frame) -> Column:
-        return _PARTS[part](F.when(F.col("kind") == kind, F.col(part))).over(frame)
+    pivots = {
+        f"_pivot{i}": F.min(F.when(F.col("kind") == i, F.col("lo"))).over(group)
+        for i in range(len(names) + 1)
+    }
+    moved = moved.withColumns(pivots)
+    sums = {}
+    for i in range(len(names) + 1):
+        frame = behind if i else ahead
+        own = F.col("kind") == i
+        off = F.coalesce(_offset(F.col(f"_pivot{i}")), F.lit(0.0))
+        n = F.col("n")
+        sums |= {
+            f"_n{i}": F.coalesce(F.sum(F.when(own, n)).over(frame), F.lit(0)),
+            f"_s{i}": F.sum(F.when(own, n * off)).over(frame),
+            f"_q{i}": F.sum(F.when(own, F.coalesce("v", F.lit(0.0)) + n * off * off)).over(frame),
+            f"_lo{i}": F.min(F.when(own, F.col("lo"))).over(frame),
+            f"_hi{i}": F.max(F.when(own, F.col("hi"))).over(frame),
+        }
+
+    def part(i: int) -> Column:
+        n, s, q = (F.col(f"_{c}{i}") for c in "nsq")
+        mean = F.try_divide(s, n)
+        left = F.greatest(q - s * mean, F.lit(0.0))
+        return F.struct(
+            n.cast("bigint").alias("n"),
+            F.col(f"_pivot{i}").alias("p"),
+            mean.alias("d"),
+            F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), 0.0).otherwise(left).alias("v"),
+            F.col(f"_lo{i}").alias("lo"),
+            F.col(f"_hi{i}").alias("hi"),
+        ).alias(f"{letter}{i}")
 
-    totals = {f"0_{part}": among(0, part, ahead) for part in _PARTS}
-    for i, _ in enumerate(names, 1):
-        totals |= {f"{i}_{part}": among(i, part, behind) for part in _PARTS}
     return (
-        moved.withColumns(totals)
+        moved.withColumns(sums)
         .where("kind = 0")
-        .select("customer_id", "_pos", *[F.col(name) for name in totals])
+        .select("customer_id", "_pos", *[part(i) for i in range(len(names) + 1)])
     )
 
 
 def _split(df: DataFrame, names: list[str], base: DataFrame) -> DataFrame:
-    amount = F.col("amount")
-    by_chunk = base.groupBy("customer_id", "_us", CHUNK).agg(
-        F.count("amount").alias("n"),
-        F.sum("amount").alias("s"),
-        F.sum(amount * amount).alias("q"),
-        F.min("amount").alias("lo"),
-        F.max("amount").alias("hi"),
+    amount = F.col("amount").cast("double")
+    zero = F.when(amount.isNotNull(), 0.0)
+    single = base.select(
+        "customer_id",
+        "_us",
+        CHUNK,
+        amount.isNotNull().cast("bigint").alias("n"),
+        amount.alias("p"),
+        zero.alias("d"),
+        zero.alias("v"),
+        amount.alias("lo"),
+        amount.alias("hi"),
     )
+    by_chunk = _merge(single, ["customer_id", "_us", CHUNK])
     moments = _merge(by_chunk, ["customer_id", "_us"]).withColumnRenamed("_us", "_pos")
     start_of = {
         level: F.col("_pos") - F.pmod("_pos", F.lit(level)) for level in (SECOND, DAY)
@@ -106,42 +163,28 @@ def _split(df: DataFrame, names: list[str], base: DataFrame) -> DataFrame:
     days = _merge(seconds.withColumn("_pos", start_of[DAY]), ["customer_id", "_pos"])
 
     order = Window.partitionBy("customer_id").orderBy("_pos")
+    # at most a month of days stands in a frame, so its days are listed
     whole_days = days.select(
         "customer_id",
         F.col("_pos").alias("_day"),
         *[
-            agg(part).over(order.rangeBetween(-(SPANS[name] - 1) * DAY, -DAY)).alias(f"d{i}_{part}")
+            F.collect_list(F.struct(*PARTS)).over(order.rangeBetween(-(SPANS[name] - 1) * DAY, -DAY)).alias(f"d{i}")
             for i, name in enumerate(names, 1)
             if SPANS[name] > 1
-            for part, agg in _PARTS.items()
         ],
     )
-
-    def prefixed(frame: DataFrame, letter: str, key: str) -> DataFrame:
-        names = [c for c in frame.columns if c[0].isdigit()]
-        return frame.select(
-            "customer_id",
-            F.col("_pos").alias(key),
-            *[F.col(c).alias(letter + c) for c in names],
-        )
-
-    at_second = prefixed(_siblings(seconds, DAY, names, inclusive=False), "s", "_second")
-    at_moment = prefixed(_siblings(moments, SECOND, names, inclusive=True), "m", "_us")
+    at_second = _siblings(seconds, DAY, names, False, "s").withColumnRenamed("_pos", "_second")
+    at_moment = _siblings(moments, SECOND, names, True, "m").withColumnRenamed("_pos", "_us")
     day_of = F.col("_second") - F.pmod("_second", F.lit(DAY))
     second_of = F.col("_us") - F.pmod("_us", F.lit(SECOND))
-    pieces = (
-        at_moment.withColumn("_second", second_of)
-        .join(at_second, ["customer_id", "_second"])
-        .withColumn("_day", day_of)
-        .join(whole_days, ["customer_id", "_day"])
-    )
+    # days meet seconds first: a day has 86,400 of them, but any number of moments
+    by_second = at_second.withColumn("_day", day_of).join(whole_days, ["customer_id", "_day"])
+    pieces = at_moment.withColumn("_second", second_of).join(by_second, ["customer_id", "_second"])
 
     finished = {}
     for i, name in enumerate(names, 1):
-        sources = ["m0", f"m{i}", "s0", f"s{i}"] + ([f"d{i}"] if SPANS[name] > 1 else [])
-        finished[name] = _finish(
-            name, {part: [F.col(f"{s}_{part}") for s in sources] for part in _PARTS}
-        )
+        near = F.array("m0", f"m{i}", "s0", f"s{i}")
+        finished[name] = _finish(name, F.concat(near, F.col(f"d{i}")) if SPANS[name] > 1 else near)
     results = pieces.select(
         "customer_id", "_us", *[value.alias(name) for name, value in finished.items()]
     )
@@ -151,19 +194,29 @@ def _split(df: DataFrame, names: list[str], base: DataFrame) -> DataFrame:
     return df.join(spread, ["customer_id", "_us", CHUNK], "left")
 
 
-def _finish(name: str, parts: dict[str, list[Column]]) -> Column:
-    def total(part: str) -> Column:
-        values = [F.coalesce(value, F.lit(0.0)) for value in parts[part]]
-        result = values[0]
-        for value in values[1:]:
-            result = result + value
-        return result
-
+def _finish(name: str, parts: Column) -> Column:
+    """The aggregate of several parts, put together two at a time."""
     if name.startswith("max"):
-        return F.greatest(*parts["hi"])
-    n, s = total("n"), total("s")
+        return F.array_max(F.transform(parts, lambda x: x["hi"]))
+    full = F.filter(parts, lambda x: x["n"] > 0)
+
+    def join(a: Column, b: Column) -> Column:
+        pivot = F.least(a["p"], b["p"])
+        left, right = (a["p"] - pivot) + a["d"], (b["p"] - pivot) + b["d"]
+        n = a["n"] + b["n"]
+        share = b["n"] / n
+        return F.struct(
+            n.alias("n"),
+            pivot.alias("p"),
+            (left + (right - left) * share).alias("d"),
+            (a["v"] + b["v"] + F.pow(right - left, 2) * a["n"] * share).alias("v"),
+            F.least(a["lo"], b["lo"]).alias("lo"),
+            F.greatest(a["hi"], b["hi"]).alias("hi"),
+        )
+
+    rest = F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0)))
+    whole = F.aggregate(rest, F.get(full, F.lit(0)), join)
     if name.startswith("mean"):
-        return F.when(n > 0, F.try_divide(s, n))
-    spread = F.try_divide(total("q") - s * F.try_divide(s, n), n - 1)
-    constant = F.least(*parts["lo"]) == F.greatest(*parts["hi"])
-    return F.when(n > 1, F.when(constant, 0.0).otherwise(F.sqrt(F.greatest(spread, F.lit(0.0)))))
+        return whole["p"] + whole["d"]
+    spread = F.sqrt(F.try_divide(whole["v"], whole["n"] - 1))
+    return F.when(whole["n"] > 1, F.when(whole["lo"] == whole["hi"], 0.0).otherwise(spread))
