@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from txnlens.functions.calendar import micros
 
 # A moving time frame costs rows x frame length, so a window task holds at most this many rows
-# of one customer.
-CROWDED_ROWS = 20_000
+# of one customer: some millions of steps.
+CROWDED_ROWS = 2_000
 
 # Rows of one chunk of a crowded customer's history.
 CHUNK_ROWS = 1_000_000
 
-# Keys that may be broadcast. With more crowded customers than this all rows are cut into chunks.
+# Chunks of one table; with more rows than that makes, chunks grow instead.
+MOST_CHUNKS = 20_000
+
+# Keys that may be broadcast. Longer lists are joined by shuffle.
 BROADCAST_KEYS = 10_000
 
 CHUNK = "_chunk"
@@ -50,15 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crowded_customers(df: DataFrame, limit: int) -> dict[str, int]:
-    """Customers with more than ``limit`` rows and how many they have, the largest first.
+def crowded_customers(df: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
+    """Customers with more than ``limit`` rows as a staged table; how many, and their rows.
 
-    One pass over the customer column alone; counts are summed before the shuffle. At most one
-    more than ``BROADCAST_KEYS`` are returned.
+    One pass over the customer column alone; counts are summed before the shuffle. Callers that use
+    a table several times find them once and pass them on.
     """
     counts = df.groupBy("customer_id").count().where(F.col("count") > limit)
-    largest = counts.orderBy(F.desc("count"), "customer_id").limit(BROADCAST_KEYS + 1)
-    return {row[0]: row[1] for row in largest.collect()}
+    names = stage(counts, "crowded")
+    customers, rows = names.agg(F.count("count"), F.sum("count")).first()
+    return names.select("customer_id"), customers, rows or 0
 
 
 def chunked(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -66,7 +70,7 @@ def chunked(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame
 
     The partition number is only stable once written, hence the staged table.
     """
-    parts = max(2, -(-rows // chunk_rows))
+    parts = min(MOST_CHUNKS, max(2, -(-rows // chunk_rows)))
     ranged = df.repartitionByRange(parts, "customer_id", *ORDER)
     return stage(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
@@ -84,13 +88,12 @@ def by_customer(
     """
     missing = F.raise_error(F.lit("a payment has no timestamp")).cast("bigint")
     timed = df.withColumn("_us", F.coalesce(micros(), missing))
-    crowded = crowded_customers(df, crowded_rows)
-    if not crowded:
+    names, customers, rows = crowded_customers(df, crowded_rows)
+    if not customers:
         return build(timed).drop("_us")
-    if len(crowded) > BROADCAST_KEYS:
-        return build(chunked(timed, df.count(), chunk_rows)).drop("_us", CHUNK)
-    names = df.sparkSession.createDataFrame([(n,) for n in crowded], "customer_id string")
-    calm = timed.join(F.broadcast(names), "customer_id", "left_anti")
-    dense = timed.join(F.broadcast(names), "customer_id", "left_semi")
-    split = build(chunked(dense, sum(crowded.values()), chunk_rows)).drop(CHUNK)
+    if customers <= BROADCAST_KEYS:
+        names = F.broadcast(names)
+    calm = timed.join(names, "customer_id", "left_anti")
+    dense = timed.join(names, "customer_id", "left_semi")
+    split = build(chunked(dense, rows, chunk_rows)).drop(CHUNK)
     return build(calm).unionByName(split).drop("_us")
