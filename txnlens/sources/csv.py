@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from txnlens.schema import canonical
 
+# Files that a day is written to.
+DAY_FILES = 8
+
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Read CSV files with a header, every column as text.
@@ -15,14 +18,15 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     would lose its leading zeros. Files whose header differs from the first one's stop the job
     instead of being read with columns mixed up.
     """
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    if "." in last and not last.lower().endswith(".csv") and "*" not in last:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not path.lower().endswith(".csv") and files.isFile(hadoop):
         raise ValueError(f"not a CSV file: {path}")
     return (
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
         .csv(path)
     )
 
@@ -42,7 +46,9 @@ def write_csv(df: DataFrame, path: str, by_day: bool = False, mode: str = "error
         }
     )
     if by_day:
-        text = text.withColumn("day", F.substring("timestamp", 1, 10))
+        # one task per day and slice, so a day is a few files however many tasks there are
+        text = text.withColumn("day", F.substring("timestamp", 1, 10)).withColumn("_slice", F.floor(F.rand(0) * DAY_FILES))
+        text = text.repartition("day", "_slice").drop("_slice")
     writer = text.write.mode(mode).option("header", True).option("escape", '"')
     if by_day:
         writer = writer.partitionBy("day")
