@@ -1,6 +1,7 @@
 """Hand-computed cases of the history features, on plain rows and on rows cut into chunks."""
 
 import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,34 @@ def test_chunks_change_nothing(payments, seed, crowded, chunk):
         assert (plain[name].astype(float) - split[name].astype(float)).abs().max() < 1e-6, name
 
 
+@pytest.mark.parametrize("base", [1e4, 1e6, 1e8, 1e9])
+def test_deviation_of_large_amounts(payments, by_id, base):
+    """Cents of spread on a large amount, with chunks, against exact arithmetic."""
+    amounts = [base + 0.01 * (i % 7) for i in range(60)]
+    rows = [("A", f"{i:02}", f"2024-01-{1 + i // 3:02} 0{i % 3}:00:0{i % 5}", a) for i, a in enumerate(amounts)]
+    got = by_id(add_features(payments(rows), crowded_rows=0, chunk_rows=7), "stddev_30day")
+    for i in range(1, 60):
+        exact = float(statistics.variance(map(Fraction, amounts[: i + 1]))) ** 0.5
+        assert got[f"{i:02}"] == pytest.approx(exact, rel=1e-9)
+
+
+def test_days_meet_seconds_not_moments(payments):
+    """A customer's day has any number of moments, so no join by day may hold them."""
+    from txnlens.functions.calendar import micros
+    from txnlens.operators.skew import chunked
+    from txnlens.operators.spans import span_columns
+
+    rows = chunked(_random_payments(payments, 6).withColumn("_us", micros()), 400, 50)
+    plan = span_columns(rows)._jdf.queryExecution().optimizedPlan().toString()
+    by_day = [line for line in plan.splitlines() if "Join" in line and "_day" in line]
+    assert by_day and not any("_us" in line for line in by_day)
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join" in line and "_day" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = [x for x in lines[at + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert not any("m0" in x for x in below)
+
+
 def test_many_crowded_customers(payments, monkeypatch):
     from txnlens.operators import skew
 

@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import TABLES, frame_text
+from txnlens import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +20,9 @@ def db():
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) == {
+    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+    assert set(registry.QUERIES) - set(SQL) == {
         "train_score",
         "flagged_txn",
         "validation_view",

@@ -123,6 +123,13 @@ txn AS (
          recipient_entity AS original_recipient_entity
   FROM ev)"""
 
+# All rows are one customer's.
+ONE_CUSTOMER = (
+    TXN.replace("txn AS (", "named AS (", 1)
+    + """,
+txn AS (SELECT * REPLACE ('default_customer' AS customer_id) FROM named)"""
+)
+
 ORDERS = f"""
 txn AS (
   SELECT 'customer_' || {padded("o_custkey", 3)} AS customer_id,
@@ -437,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
         f"round(({c} - mean_{c}) / CASE WHEN std_{c} = 0 THEN 1 ELSE std_{c} END, 5) AS {c}"
         for c in FEATURES
     )
-    return {
+    queries = {
         "csv_roundtrip": chain(TXN, select=f"SELECT {_TXN_COLUMNS}, {iso('timestamp')} AS timestamp FROM txn"),
         "ensure_columns": chain(
             TXN,
@@ -595,6 +602,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "feature_table": _feature_table(TXN, 6),
         "feature_table_orders": _feature_table(ORDERS, 4),
+        "feature_table_split": _feature_table(TXN, 8),
+        "feature_table_default_customer": _feature_table(ONE_CUSTOMER, 6)
+        .replace("AS DOUBLE), 6)", "AS DOUBLE) + 3e-7, 6)")
+        .replace(
+            "round(CAST(time_deviation_from_user_norm AS DOUBLE) + 3e-7, 6)",
+            "round(CAST(time_deviation_from_user_norm AS DOUBLE) + 3e-5, 3)",
+        ),
         "inject_burst": chain(
             TXN,
             BURSTS,
@@ -735,6 +749,7 @@ a AS (
         ),
         "one_hot": chain(TXN, select=_one_hot()),
     }
+    return {**queries, "burst_groups_split": queries["burst_groups"]}
 
 
 def _split(source: str, label: str) -> str:

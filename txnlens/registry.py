@@ -352,6 +352,29 @@ def feature_table_orders(spark, sf_dir):
     return rounded(featured.select("customer_id", "transaction_id", *FEATURES, LABEL), 4)
 
 
+@query
+def feature_table_split(spark, sf_dir):
+    """The same with the history of every customer cut into chunks."""
+    featured = features.add_features(_txn(spark, sf_dir), crowded_rows=0, chunk_rows=500)
+    return rounded(featured.select("customer_id", "transaction_id", *FEATURES, LABEL), 8)
+
+
+@query
+def feature_table_default_customer(spark, sf_dir):
+    """The same on a table without a customer column, so that all rows are one customer's."""
+    bare = normalize(ensure_columns(_txn(spark, sf_dir).drop("customer_id")))
+    featured = features.add_features(bare)
+    # Means over many rows fall on halves of any grid; moved off it, the last bit doesn't decide.
+    kinds = dict(featured.dtypes)
+    moved = {
+        c: F.round(F.col(c) + 3e-5, 3) if c == "time_deviation_from_user_norm" else F.col(c) + 3e-7
+        for c in FEATURES
+        if kinds[c] == "double"
+    }
+    featured = featured.withColumns(moved)
+    return rounded(featured.select("customer_id", "transaction_id", *FEATURES, LABEL))
+
+
 # --- accidents put in, and rules that find them ------------------------------------------------
 
 
@@ -462,6 +485,17 @@ def burst_groups(spark, sf_dir):
     )
 
 
+@query
+def burst_groups_split(spark, sf_dir):
+    """The same with the history of every customer cut into chunks."""
+    groups = labels.burst_groups(_accidents(spark, sf_dir), crowded_rows=0, chunk_rows=500)
+    return rounded(
+        groups.withColumns(
+            {c: F.unix_micros(c) for c in ("started_at", "ended_at")}
+        )
+    )
+
+
 @query
 def typo_candidates(spark, sf_dir):
     found = labels.typo_candidates(_accidents(spark, sf_dir))
