@@ -66,7 +66,7 @@ def _homed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_roundtrip(spark, sf_dir):
     path = f"{shared_folder(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
-    csv.write_csv(_txn(spark, sf_dir), path)
+    csv.write_csv(_txn(spark, sf_dir), path, by_day=True)
     back = csv.read_transactions(spark, path)
     return back.withColumn("timestamp", iso_text("timestamp"))
 

@@ -26,6 +26,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("recursiveFileLookup", True)  # folders by day give no column
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .csv(path)
     )
