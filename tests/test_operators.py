@@ -269,3 +269,24 @@ def test_na_policies(spark):
     assert sorted(r.amount for r in model.model_rows(df, "impute").collect()) == [0.0, 1.0]
     with pytest.raises(ValueError):
         model.model_rows(df, "guess")
+
+
+def test_times_in_other_forms(spark):
+    from txnlens.schema import canonical
+
+    raw = spark.createDataFrame([("1", "31/01/2024 05:06", 1.0), ("2", "soon", 2.0)], "transaction_id string, timestamp string, amount double")
+    got = canonical(raw, strict=False, timestamp_format="dd/MM/yyyy HH:mm").orderBy("transaction_id").collect()
+    assert str(got[0]["timestamp"]) == "2024-01-31 05:06:00" and got[1]["timestamp"] is None
+
+
+def test_csv_files_in_any_case(spark, tmp_path):
+    from txnlens.sources.csv import read_transactions
+
+    folder = tmp_path / "payments.v2"
+    folder.mkdir()
+    (folder / "a.csv").write_text("transaction_id,amount\n1,1.0\n")
+    (folder / "b.CSV").write_text("transaction_id,amount\n2,2.0\n")
+    (folder / "notes.txt").write_text("none")
+    assert read_transactions(spark, str(folder)).count() == 2
+    with pytest.raises(ValueError, match="not a CSV file"):
+        read_transactions(spark, str(folder / "notes.txt"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from txnlens.operators import profile
 from txnlens.session import job_session
 from txnlens.sources.csv import write_csv
-from txnlens.sources.files import load
+from txnlens.sources.files import add_input_options, load
 
 
 def reports(txn: DataFrame) -> dict[str, DataFrame]:
@@ -33,10 +33,10 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("input")
     parser.add_argument("output")
-    parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    add_input_options(parser)
     args = parser.parse_args()
     spark = job_session("txnlens-profile")
-    txn = load(spark, args.input, args.format)
+    txn = load(spark, args.input, args.format, not args.lenient, args.timestamp_format)
     for name, report in reports(txn).items():
         write_csv(report, f"{args.output.rstrip('/')}/{name}", mode="overwrite")
 

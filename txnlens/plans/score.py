@@ -16,7 +16,7 @@ from txnlens.operators.features import add_features
 from txnlens.operators.skew import stage
 from txnlens.session import job_session
 from txnlens.sources.csv import write_csv, write_json
-from txnlens.sources.files import load
+from txnlens.sources.files import add_input_options, load
 
 
 def score(txn: DataFrame, fitted: PipelineModel, na_policy: str = "drop") -> DataFrame:
@@ -29,14 +29,14 @@ def main() -> None:
     parser.add_argument("input")
     parser.add_argument("model")
     parser.add_argument("output")
-    parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    add_input_options(parser)
     parser.add_argument("--output-format", choices=["json", "csv", "parquet"], default="json")
     parser.add_argument("--na-policy", choices=["drop", "impute"], default="drop")
     parser.add_argument("--recall", action="store_true")
     args = parser.parse_args()
     spark = job_session("txnlens-score")
     scored = score(
-        load(spark, args.input, args.format), PipelineModel.load(args.model), args.na_policy
+        load(spark, args.input, args.format, not args.lenient, args.timestamp_format), PipelineModel.load(args.model), args.na_policy
     )
     if args.recall:  # read twice below
         scored = stage(evaluate.validation_view(scored), "scored")

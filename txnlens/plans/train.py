@@ -14,7 +14,7 @@ from txnlens.operators.features import add_features
 from txnlens.operators.sampling import stratified_split
 from txnlens.operators.skew import stage
 from txnlens.session import job_session
-from txnlens.sources.files import load
+from txnlens.sources.files import add_input_options, load
 
 
 def split_rows(featured: DataFrame, na_policy: str = "drop") -> DataFrame:
@@ -40,14 +40,14 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("input")
     parser.add_argument("model")
-    parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    add_input_options(parser)
     parser.add_argument("--na-policy", choices=["drop", "impute"], default="drop")
     parser.add_argument("--trees", type=int, default=TREES)
     parser.add_argument("--depth", type=int, default=TREE_DEPTH)
     parser.add_argument("--rate", type=float, default=LEARNING_RATE)
     args = parser.parse_args()
     spark = job_session("txnlens-train")
-    txn = load(spark, args.input, args.format)
+    txn = load(spark, args.input, args.format, not args.lenient, args.timestamp_format)
     fitted, scored = fit(txn, args.na_policy, args.trees, args.depth, args.rate)
     fitted.write().overwrite().save(args.model)
     evaluate.classification_report(scored).show(truncate=False)

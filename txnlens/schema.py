@@ -50,11 +50,14 @@ def ensure_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(added)
 
 
-def normalize(df: DataFrame, strict: bool = True) -> DataFrame:
+def normalize(
+    df: DataFrame, strict: bool = True, timestamp_format: str | None = None
+) -> DataFrame:
     """Give known columns their types: flags 0/1, time as timestamp, amount as double.
 
     NaN amounts become null, since Spark's aggregates would take NaN for a value. With
-    ``strict=False`` text that cannot be parsed becomes null instead of stopping the job.
+    ``strict=False`` text that cannot be parsed becomes null instead of stopping the job. Times are
+    ISO text unless ``timestamp_format`` gives a pattern.
     """
     columns: dict[str, Column] = {}
     for flag in FLAGS:
@@ -66,7 +69,11 @@ def normalize(df: DataFrame, strict: bool = True) -> DataFrame:
     if "timestamp" in df.columns:
         ts = F.col("timestamp")
         if isinstance(df.schema["timestamp"].dataType, T.StringType):
-            ts = F.to_timestamp(ts) if strict else F.try_to_timestamp(ts)
+            pattern = [] if timestamp_format is None else [timestamp_format]
+            if strict:
+                ts = F.to_timestamp(ts, *pattern)
+            else:
+                ts = F.try_to_timestamp(ts, *map(F.lit, pattern))
         columns["timestamp"] = ts.cast("timestamp")
     if "amount" in df.columns:
         amount = F.col("amount")
@@ -78,6 +85,8 @@ def normalize(df: DataFrame, strict: bool = True) -> DataFrame:
     return df.withColumns(columns)
 
 
-def canonical(df: DataFrame, strict: bool = True) -> DataFrame:
+def canonical(
+    df: DataFrame, strict: bool = True, timestamp_format: str | None = None
+) -> DataFrame:
     """``ensure_columns`` and ``normalize`` in one."""
-    return normalize(ensure_columns(df), strict)
+    return normalize(ensure_columns(df), strict, timestamp_format)

@@ -32,9 +32,11 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_transactions(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_transactions(
+    spark: SparkSession, path: str, strict: bool = True, timestamp_format: str | None = None
+) -> DataFrame:
     """Read CSV files as canonical transactions, filling in columns they lack."""
-    return canonical(read_raw(spark, path), strict)
+    return canonical(read_raw(spark, path), strict, timestamp_format)
 
 
 def write_csv(df: DataFrame, path: str, by_day: bool = False, mode: str = "error") -> None:
