@@ -52,8 +52,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the text decoded from them."""
-    decoded = bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE)
-    return bpe.with_digests(decoded).drop("text")
+    return bpe.with_digests(bpe.round_trip(docs, WORD_BPE)).drop("text")
 
 
 STAGES = [

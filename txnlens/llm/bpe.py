@@ -31,6 +31,9 @@ from tokenizers import Tokenizer
 from txnlens.llm.tables import row_blocks
 from txnlens.llm.vocab import CLASSES, SPACE, WordIds, byte_symbols, is_exotic
 
+# Of text or ids in one block.
+BLOCK_BYTES = 2 << 20
+
 # Fixed value: the word pattern of the tokenizer files that are supported.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -155,7 +158,7 @@ class BpeEncoder:
         normal = self.library.normalizer.normalize_str(text)
         cut = self.library.pre_tokenizer.pre_tokenize_str(normal)
         words = (bytes(self.byte_of[c] for c in piece) for piece, _ in cut)
-        return b"".join(self.words.of_word(w).tobytes() for w in words)
+        return b"".join(map(self.words.of_word, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """All ids of each text as little-endian 32-bit integers.
@@ -208,7 +211,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, most=BLOCK_BYTES):
             ids = model.encode(block.column("text").to_pylist())
             yield pa.record_batch([block.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -223,7 +226,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for block in row_blocks(batches, "ids", 4 << 20):
+        for block in row_blocks(batches, "ids", BLOCK_BYTES):
             texts = model.decode(block.column("ids").to_pylist())
             yield pa.record_batch(
                 [block.column("doc_id"), block.column("ids"), pa.array(texts, pa.binary())],
@@ -235,6 +238,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and the text decoded from them; both directions in one pass and one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(path)
+        for block in row_blocks(batches, most=BLOCK_BYTES):
+            ids = model.encode(block.column("text").to_pylist())
+            yield pa.record_batch(
+                [block.column("doc_id"), pa.array(ids, pa.binary()), pa.array(model.decode(ids), pa.binary())],
+                ["doc_id", "ids", "text"],
+            )
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
+    return rows.mapInArrow(run, "doc_id bigint, ids binary, text binary").withColumn(
+        "text", F.col("text").cast("string")
+    )
+
+
 def with_digests(decoded: DataFrame) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256."""
     return decoded.withColumns(

@@ -28,10 +28,11 @@ from txnlens.llm.tables import columns_of, row_blocks
 
 # The learning sample: the start of one document from each of SAMPLE_SLOTS hash slots per language.
 SAMPLE_SLOTS = 64
-SLOT_CHARS = 1000
+SLOT_CHARS = 500
 MOST_LANGUAGES = 500
 MOST_CODES = 255  # different letters; rarer ones never match
 SEGMENT = 1024
+BLOCK_BYTES = 3 << 20  # of text in one block
 UNKNOWN = "und"
 
 
@@ -120,9 +121,11 @@ class Model:
         tables, self.starts, base = [], [], 0
         for text in texts:
             step = suffix_automaton(self.code[text].tolist())
+            if base + (len(step) + 1) * width >= 2**30:
+                raise ValueError("the languages' samples are too large together")
             # the last row is where a parse starts and where a letter outside the sample leads: no
             # phrase goes on from there
-            fresh = np.full(width, len(step), np.int64)
+            fresh = np.full(width, len(step), np.int32)
             for c, q in step[0].items():
                 if c:
                     fresh[c] = q
@@ -135,9 +138,7 @@ class Model:
             tables.append(table.ravel())
             self.starts.append(base + len(step) * width)
             base += table.size
-        if base >= 2**30:
-            raise ValueError("the languages' samples are too large together")
-        self.table = np.concatenate([np.zeros(0, np.int64), *tables]).astype(np.int32)
+        self.table = np.concatenate([np.zeros(0, np.int32), *tables])
         self.bits = np.log2(np.array([max(2, len(t)) for t in texts]))
 
     def phrases(self, segments: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -188,11 +189,12 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
 def predict(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
     """Every row as a struct ``row``, with lang_pred and score; only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(samples))
-    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
-        for block in row_blocks(batches):
+        both = (pa.record_batch([b.column(0), b.column(0).field("text")], ["row", "text"]) for b in batches)
+        for block in row_blocks(both, most=BLOCK_BYTES):
             found = model.predict(block.column("text").to_pylist())
             yield pa.record_batch(
                 [block.column("row"), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found])],

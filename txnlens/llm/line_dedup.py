@@ -36,8 +36,9 @@ from txnlens.llm.tables import columns_of, default_parts, row_blocks, stage
 EDITS = 2
 MIN_CHARS = 20
 BUCKET_BYTES = 16 << 20  # of text, whose keys one bucket holds
+BLOCK_BYTES = 2 << 20  # of text in one block
 TILE = 8192  # lines of one key in a tile
-SLAB = 1 << 21  # pairs looked at together
+SLAB = 1 << 18  # pairs looked at together
 BROADCAST_LINES = 200_000
 
 
@@ -53,7 +54,7 @@ def parity(lines: list[str]) -> np.ndarray:
     full = np.flatnonzero(sizes)
     if len(full):
         starts = (np.cumsum(sizes) - sizes)[full]
-        out[full] = np.bitwise_xor.reduceat(np.uint64(1) << (points % 32).astype(np.uint64), starts)
+        out[full] = np.bitwise_xor.reduceat(np.uint32(1) << (points & 31), starts)
     return out
 
 
@@ -113,7 +114,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, high, id) of every line that isn't blank; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, most=BLOCK_BYTES):
             doc_ids, numbers, lines = [], [], []
             for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):
                 for n, line in enumerate(map(normal, (text or "").split("\n"))):
@@ -140,7 +141,7 @@ def bucketed_keys(docs: DataFrame, buckets: int, edits: int, least: int) -> Data
     """Index and probe keys of the different lines of each block, by hash bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, most=BLOCK_BYTES):
             lines = list(
                 {n for text in block.column("text").to_pylist() for n in map(normal, (text or "").split("\n")) if len(n) >= least}
             )
@@ -336,7 +337,7 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -
     rows = source.join(side, source["id_of"].eqNullSafe(side["doc_id"])).select("doc_id", "text", "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, most=BLOCK_BYTES):
             out = []
             for row in block.to_pylist():
                 lines = (row["text"] or "").split("\n")

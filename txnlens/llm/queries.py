@@ -24,8 +24,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE)
-    return bpe.with_digests(bpe.decode(encoded, WORD_BPE)).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.with_digests(bpe.round_trip(docs, WORD_BPE)).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
 

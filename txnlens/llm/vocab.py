@@ -103,12 +103,12 @@ class WordIds:
         self, encode: Callable[[bytes], list[int]], space_leads: bool, most: int = 300_000
     ):
         self.encode, self.space_leads, self.most = encode, space_leads, most
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.seen: dict[bytes, bytes] = {}
 
-    def of_word(self, word: bytes) -> np.ndarray:
+    def of_word(self, word: bytes) -> bytes:
         ids = self.seen.get(word)
         if ids is None:
-            ids = np.array(self.encode(word), "<u4")
+            ids = np.array(self.encode(word), "<u4").tobytes()
             if len(self.seen) >= self.most:
                 self.seen.clear()
             if len(word) <= 64:
@@ -132,8 +132,8 @@ class WordIds:
         ).dictionary_encode()
         code = words.indices.to_numpy()
         per_word = [self.of_word(w) for w in words.dictionary.to_pylist()]
-        counts = np.array([len(x) for x in per_word], np.int64)
-        flat = np.concatenate(per_word)
+        counts = np.array([len(x) // 4 for x in per_word], np.int64)
+        flat = np.frombuffer(b"".join(per_word), "<u4")
         place = np.concatenate([[0], np.cumsum(counts)[:-1]])
         sizes = counts[code]
         ends = np.concatenate([[0], np.cumsum(sizes)])
