@@ -402,7 +402,8 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> D
     """Every row as a struct ``row``, its text without the lines that go, and the counts."""
     facts = stage(duplicates(docs, edits, least), "line_facts")
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").alias("full"))
-    joined = rows.join(facts, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    # by shuffle at every size: what goes grows with the documents
+    joined = rows.join(facts.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
     lines = F.split("full", "\n", -1)
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.array_join(F.transform(F.array_except(every, "drop"), lambda i: F.get(lines, i)), "\n")
