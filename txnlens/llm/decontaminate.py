@@ -30,6 +30,7 @@ from txnlens.llm.words import word_codes
 
 WINDOW = 13
 ITEM_WORDS = 2_000_000
+SHARD_BYTES = 3 << 20  # of text
 
 INDEX_SCHEMA = (
     "shard bigint, doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, gaps binary"
@@ -44,7 +45,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         part = TaskContext.get().partitionId()
-        for seq, block in enumerate(row_blocks(batches)):
+        for seq, block in enumerate(row_blocks(batches, most=SHARD_BYTES)):
             codes, n_words, hashes = word_codes(block.column("text").to_pylist())
             rank = np.empty(len(hashes), np.int32)
             order = np.argsort(hashes)
