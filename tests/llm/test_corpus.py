@@ -172,3 +172,40 @@ def test_scores_of_little(documents):
     assert ngram_lm.score(documents([])).collect() == []
     got = ngram_lm.score(documents([(1, "alone alone"), (2, None)])).collect()
     assert {r["doc_id"]: r["log_score"] for r in got} == {1: pytest.approx(2 * math.log(0.16)), 2: None}
+
+
+def brute_backoff(rows, order):
+    """Stupid backoff by its definition, over n-grams of up to ``order`` words."""
+    docs = [words(t) for _, t in rows]
+    grams = lambda d: Counter(tuple(d[k : k + n]) for n in range(1, order + 1) for k in range(len(d) - n + 1))
+    everything, total, out = sum(map(grams, docs), Counter()), sum(map(len, docs)), []
+    for (doc, _), d in zip(rows, docs):
+        own = grams(d)
+        others = lambda g: everything[g] - own[g]
+
+        def share(k, n):
+            if n == 1:
+                return (others((d[k],)) or 0.4) / max(1, total - len(d))
+            gram = tuple(d[k - n + 1 : k + 1]) if k >= n - 1 else ()
+            return others(gram) / others(gram[:-1]) if gram and others(gram) else 0.4 * share(k, n - 1)
+
+        out.append((str(doc), len(d), sum(math.log(share(k, order)) for k in range(len(d))) if d else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_longer_contexts_against_brute_force(documents, corpus, order):
+    rows = [r for r in corpus[0] if r[0] not in (91, 92)]
+    got = ngram_lm.score(documents(rows), 50, order).collect()
+    seen = sorted(((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got), key=str)
+    for ours, theirs in zip(seen, brute_backoff(rows, order), strict=True):
+        assert ours[:2] == theirs[:2] and (ours[2] is theirs[2] or ours[2] == pytest.approx(theirs[2], rel=1e-9))
+
+
+def test_query_scores_contexts_of_two_words(spark, documents, tmp_path):
+    from txnlens.llm.queries import op6_lm_score
+
+    rows = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in op6_lm_score(spark, str(tmp_path)).collect()}
+    assert got == {int(d): round(s, 4) for d, _, s in brute_backoff(rows, 3)}

@@ -1,9 +1,11 @@
 """Stupid-backoff language-model scores of every document, from counts over all documents.
 
-A word that follows another scores the share of that pair among the occurrences of the first word;
-if the pair doesn't occur, BACKOFF times the word's share of all words; if the word doesn't occur
-either, BACKOFF squared over the number of words. Counts are those of all *other* documents: a
-document's own n-grams are taken out, else nothing would ever back off.
+With n-grams of up to ``order`` words, a word scores the share of its longest n-gram, which ends with
+it, among the occurrences of the n-gram's words before it. If that n-gram doesn't occur, BACKOFF times
+the score with one word less before it; without words before it that is the word's share of all words,
+and if the word doesn't occur either, BACKOFF over the number of words. An n-gram that would start before
+its document doesn't occur. Counts are those of all *other* documents: a document's own n-grams are taken
+out, else nothing would ever back off.
 
 Documents are packed into blocks of some megabytes, written once. Each block asks for its different
 n-grams, keyed by a 64-bit hash and split by hash into as many buckets as the data needs; a bucket is
@@ -31,6 +33,7 @@ from txnlens.llm.tables import default_parts, row_blocks, stage
 from txnlens.llm.words import word_codes
 
 BACKOFF = 0.4
+ORDER = 3  # words in the longest n-grams of the production run
 BUCKET_WORDS = 4_000_000
 
 BLOCKS = "block bigint, doc_ids array<bigint>, n_words array<bigint>, hashes binary, codes binary, words bigint"
@@ -69,28 +72,32 @@ def pack(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """The n-grams of a block: words, and pairs of words within a document."""
+    """The n-grams of a block: words, and up to ``order`` words in a row within a document.
 
-    def __init__(self, row: dict):
+    ``grams`` has for each n from 1 up (places, n-gram of each place, number of n-grams): the places
+    of words that have n - 1 words before them, and which n-gram ends there.
+    """
+
+    def __init__(self, row: dict, order: int):
         raw = zstandard.ZstdDecompressor().decompress(row["codes"])
         self.codes = np.frombuffer(raw, "<u4").astype(np.int64)
         self.hashes = np.frombuffer(row["hashes"], np.uint64)
         self.n_words = np.array(row["n_words"], np.int64)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
-        follows = np.append(False, self.doc[1:] == self.doc[:-1]) if len(self.doc) else np.zeros(0, bool)
-        self.second = np.flatnonzero(follows)  # places of words that have a word before them
-        pair = self.codes[self.second - 1] << 32 | self.codes[self.second]
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        # all n-grams of the block, words first
-        self.keys = np.concatenate(
-            [self.hashes, mixed(self.hashes[self.pairs >> 32], self.hashes[self.pairs & 0xFFFFFFFF])]
-        )
-        self.counts = np.concatenate(
-            [
-                np.bincount(self.codes, minlength=len(self.hashes)),
-                np.bincount(self.pair_of, minlength=len(self.pairs)),
-            ]
-        )
+        before = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+        self.grams = [(np.arange(len(self.codes)), self.codes, len(self.hashes))]
+        keys, counts = [self.hashes], [np.bincount(self.codes, minlength=len(self.hashes))]
+        last = self.codes  # the n-gram that ends at each place
+        for n in range(2, order + 1):
+            places = np.flatnonzero(before >= n - 1)
+            both, gram = np.unique(last[places - 1] << 32 | self.codes[places], return_inverse=True)
+            self.grams.append((places, gram, len(both)))
+            keys.append(mixed(keys[-1][both >> 32], self.hashes[both & 0xFFFFFFFF]))
+            counts.append(np.bincount(gram, minlength=len(both)))
+            last = np.zeros(len(self.codes), np.int64)
+            last[places] = gram
+        # all n-grams of the block, the shortest first
+        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(order, bucket of each n-gram in that order): by bucket, then key."""
@@ -107,14 +114,14 @@ def large(raw: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4").astype(np.int64)
 
 
-def requests(blocks: DataFrame, buckets: int) -> DataFrame:
+def requests(blocks: DataFrame, buckets: int, ngram_order: int) -> DataFrame:
     """(bucket, block, keys, counts): what a block asks of each bucket, and how often it has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row)
+                block = Block(row, ngram_order)
                 order, bucket = block.buckets(buckets)
                 cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(order))
                 if not len(order):
@@ -159,42 +166,52 @@ def answer(bucket: pa.Table) -> pa.Table:
 
 
 def document_scores(block: Block, totals: np.ndarray, all_words: int) -> np.ndarray:
-    """Sum of the log scores of each document's words; the first word of a document backs off."""
-    word_total, pair_total = totals[: len(block.hashes)], totals[len(block.hashes) :]
+    """Sum of the log scores of each document's words."""
 
     def own(items: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
         """How often the document at hand has each item."""
         _, place, counts = np.unique(docs * size + items, return_inverse=True, return_counts=True)
         return counts[place]
 
-    words = word_total[block.codes] - own(block.codes, block.doc, max(1, len(block.hashes)))
     others = np.maximum(1, all_words - block.n_words[block.doc])
-    score = np.log(np.where(words > 0, BACKOFF * words, BACKOFF**2) / others)
-    s = block.second
-    pairs = pair_total[block.pair_of] - own(block.pair_of, block.doc[s], max(1, len(block.pairs)))
-    seen = pairs > 0
-    score[s[seen]] = np.log(pairs[seen] / words[s[seen] - 1])
+    score, shorter, start = np.zeros(len(block.doc)), np.zeros(0, np.int64), 0
+    for n, (places, gram, size) in enumerate(block.grams, 1):
+        there = totals[start : start + size][gram] - own(gram, block.doc[places], max(1, size))
+        start += size
+        if n == 1:
+            score = np.log(np.where(there > 0, there, BACKOFF) / others)
+            shorter = there
+            continue
+        score += np.log(BACKOFF)
+        seen = there > 0
+        score[places[seen]] = np.log(there[seen] / shorter[places[seen] - 1])
+        shorter = np.zeros(len(score), np.int64)
+        shorter[places] = there
     return np.bincount(block.doc, weights=score, minlength=len(block.n_words))
 
 
-def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """doc_id, n_words, log_score: the sum over the document's words, null without words."""
+def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS, order: int = 2) -> DataFrame:
+    """doc_id, n_words, log_score: the sum over the document's words, null without words.
+
+    ``order`` is the number of words in the longest n-grams; production runs use ``ORDER``.
+    """
     blocks = pack(docs)
     all_words = blocks.agg(F.sum("words")).first()[0] or 0
-    buckets = max(default_parts(docs.sparkSession), -(-all_words // bucket_words))
+    # a word adds an n-gram for each further order
+    buckets = max(default_parts(docs.sparkSession), -(-all_words * max(1, order - 1) // bucket_words))
     answers = (
-        requests(blocks, buckets)
+        requests(blocks, buckets, order)
         .groupBy("bucket")
         .applyInArrow(answer, "block bigint, bucket int, totals binary")
     )
 
     def finish(own: pa.Table, totals: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        block = Block(row)
-        order, _ = block.buckets(buckets)
+        block = Block(row, order)
+        sent, _ = block.buckets(buckets)
         parts = sorted((r["bucket"], r["totals"]) for r in totals.to_pylist())  # none without words
-        counts = np.empty(len(order), np.int64)
-        counts[order] = np.concatenate([np.zeros(0, np.int64), *(large(t) for _, t in parts)])
+        counts = np.empty(len(sent), np.int64)
+        counts[sent] = np.concatenate([np.zeros(0, np.int64), *(large(t) for _, t in parts)])
         scores = document_scores(block, counts, all_words).astype(float)  # of no words: integers
         return pa.table(
             {

@@ -62,7 +62,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(table(spark, sf_dir, "documents")).select(
+    return ngram_lm.score(table(spark, sf_dir, "documents"), order=ngram_lm.ORDER).select(
         "doc_id",
         "n_words",
         F.round("log_score", 4).alias("log_score"),
