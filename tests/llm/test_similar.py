@@ -124,6 +124,23 @@ def test_line_dedup_edges(documents):
     assert [r["text"] for r in only_null] == [None, None]
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(documents):
+    def kept(rows):
+        got = line_dedup.drop_lines(documents(rows)).collect()
+        assert all(r["n_lines"] == len(r["row"]["text"].split("\n")) for r in got)
+        assert all(r["n_lines"] - r["n_dropped"] == len(r["text"].split("\n")) * (r["text"] != "") for r in got)
+        return sorted(x for r in got for x in r["text"].split("\n") if x)
+
+    for doc in (None, 7):
+        rows = [(doc, "unique1\ncommon"), (doc, "common\nunique2"), (doc, "far\nunique1\nunique3"), (8, "common\nx")]
+        assert kept(rows) == ["common", "far", "unique1", "unique2", "unique3", "x"]
+    near = "a line that is near the others in text "
+    # rows without an id are documents of their own even if their texts are the same
+    assert len(kept([(None, near + "1\nb"), (None, near + "1\nb"), (None, "c\n" + near + "2"), (3, near + "3")])) == 3
+    counts = [(r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_lines(documents([(1, "a\na"), (1, "a\na")])).collect()]
+    assert counts == [(2, 1), (2, 1)]
+
+
 def test_crowded_keys_are_cut_into_tiles(monkeypatch):
     rng = random.Random(4)
     lines = list({"a shared beginning of the line " + "".join(rng.choices("ab", k=12)) for _ in range(300)})

@@ -2,7 +2,7 @@
 
 Lines are compared in lower case with white space collapsed. Equal lines are duplicates; so are lines
 of ``MIN_CHARS`` or more characters within ``EDITS`` edits of each other, and lines such links join up.
-Of each class the first line by (doc_id, line number) stays.
+Of each class the first line by (doc_id, row, line number) stays.
 
 A line is split into ``EDITS + 1`` segments; a line within that many edits has one of them unchanged,
 at a place that depends on both lengths. So each line puts its segments into an index, under keys made of
@@ -13,9 +13,11 @@ tiles that are matched in tasks of their own. A line's id holds the parity of it
 classes, and since an edit changes two of these at most, most chance matches end there. The rest are
 verified by a banded bit-parallel edit distance.
 
-Defined results: blank lines and null texts are left alone; rows with the same doc_id count as one
-document; a null doc_id is a document that comes first; an empty table gives an empty result. A line
-and the keys of one block have to fit into memory.
+Defined results: blank lines and null texts are left alone; rows with the same doc_id and the same text
+count as one document, rows with the same doc_id and other texts as documents of their own, by the hash of
+their text; every row without doc_id is a document of its own and these come first, in the order of the
+table as it was staged; an empty table gives an empty result. A line and the keys of one block have to fit
+into memory.
 """
 
 from __future__ import annotations
@@ -110,31 +112,55 @@ def expand_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, high, id) of every line that isn't blank; written."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, id_of, uid, text): every row as a struct and what names it; written, so that names hold.
+
+    Repeated rows share their name, the doc_id and the hash of their text. Without a doc_id the row's
+    number is its name.
+    """
+    uid = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), uid.alias("uid"))
+    return stage(rows, "line_rows").select(
+        "row", F.col("row.doc_id").cast("bigint").alias("id_of"), "uid", F.col("row.text").alias("text")
+    )
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(doc_id, uid, line_no, lead, high, id) of every line that isn't blank; written.
+
+    ``lead`` marks the first such line of a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches, most=BLOCK_BYTES):
-            doc_ids, numbers, lines = [], [], []
-            for doc, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):
+            doc_ids, uids, numbers, leads, lines = [], [], [], [], []
+            for doc, uid, text in zip(*(block.column(c).to_pylist() for c in ("id_of", "uid", "text"))):
+                lead = True
                 for n, line in enumerate(map(normal, (text or "").split("\n"))):
                     if line:
                         doc_ids.append(doc)
+                        uids.append(uid)
                         numbers.append(n)
+                        leads.append(lead)
                         lines.append(line)
+                        lead = False
             high, ids = digests(lines)
             yield pa.record_batch(
                 [
                     pa.array(doc_ids, pa.int64()),
+                    pa.array(uids, pa.int64()),
                     pa.array(numbers, pa.int32()),
+                    pa.array(leads, pa.bool_()),
                     pa.array(high.view(np.int64)),
                     pa.array(ids.view(np.int64)),
                 ],
-                ["doc_id", "line_no", "high", "id"],
+                ["doc_id", "uid", "line_no", "lead", "high", "id"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return stage(rows.mapInArrow(run, "doc_id bigint, line_no int, high bigint, id bigint"), "lines")
+    found = rows.select("id_of", "uid", "text").mapInArrow(
+        run, "doc_id bigint, uid bigint, line_no int, lead boolean, high bigint, id bigint"
+    )
+    return stage(found, "lines")
 
 
 def bucketed_keys(docs: DataFrame, buckets: int, edits: int, least: int) -> DataFrame:
@@ -322,19 +348,22 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """(a, b): first occurrences (doc_id, line_no) of lines within ``edits``; written.
+    """(a, b): first occurrences (doc_id, uid, line_no) of lines within ``edits``; written.
 
     Only the documents in which a candidate line occurs first are read again.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = stage(
-        firsts.join(ids, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "high", "id")).alias("lines")),
+        firsts.join(ids, "id").groupBy("doc_id", "uid").agg(
+            F.collect_list(F.struct("line_no", "high", "id")).alias("lines")
+        ),
         "wanted_lines",
     )
     small = wanted.select(F.sum(F.size("lines"))).first()[0] or 0
     side = F.broadcast(wanted) if small <= BROADCAST_LINES else wanted
-    source = docs.select(F.col("doc_id").cast("bigint").alias("id_of"), "text")
-    rows = source.join(side, source["id_of"].eqNullSafe(side["doc_id"])).select("doc_id", "text", "lines")
+    source = docs.select("id_of", F.col("uid").alias("uid_of"), "text")
+    same = source["id_of"].eqNullSafe(side["doc_id"]) & (source["uid_of"] == side["uid"])
+    rows = source.join(side, same).select("doc_id", "uid", "text", "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches, most=BLOCK_BYTES):
@@ -343,18 +372,18 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -
                 lines = (row["text"] or "").split("\n")
                 for w in row["lines"]:
                     if w["line_no"] < len(lines):
-                        out.append((w["id"], w["high"], row["doc_id"], w["line_no"], normal(lines[w["line_no"]])))
+                        out.append((w["id"], w["high"], row["doc_id"], row["uid"], w["line_no"], normal(lines[w["line_no"]])))
             if not out:
                 continue
-            high, ids = digests([x[4] for x in out])
-            # rows that share a doc_id may have other lines there
+            high, ids = digests([x[5] for x in out])
+            # rows whose texts have the same hash may have other lines there
             right = (high.view(np.int64) == np.array([x[1] for x in out])) & (ids.view(np.int64) == np.array([x[0] for x in out]))
-            columns = list(zip(*(x for x, ok in zip(out, right.tolist()) if ok))) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "high", "doc_id", "line_no", "line"])
+            columns = list(zip(*(x for x, ok in zip(out, right.tolist()) if ok))) or [()] * 6
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "high", "doc_id", "uid", "line_no", "line"])
 
-    texts = stage(rows.mapInArrow(cut, "id bigint, high bigint, doc_id bigint, line_no int, line string"), "line_texts")
-    place = F.struct("doc_id", "line_no")
+    texts = stage(rows.mapInArrow(cut, "id bigint, high bigint, doc_id bigint, uid bigint, line_no int, line string"), "line_texts")
+    place = F.struct("doc_id", "uid", "line_no")
     one = texts.select(F.col("id").alias("a"), place.alias("first_a"), F.col("line").alias("line_a"))
     two = texts.select(F.col("id").alias("b"), place.alias("first_b"), F.col("line").alias("line_b"))
     both = pairs.join(one, "a").join(two, "b").select("first_a", "first_b", "line_a", "line_b")
@@ -365,23 +394,24 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -
             ok = pa.array([within(x, y, edits) for x, y in zip(left, right)], pa.bool_())
             yield batch.select(["first_a", "first_b"]).filter(ok)
 
-    node = "struct<doc_id:bigint,line_no:int>"
+    node = "struct<doc_id:bigint,uid:bigint,line_no:int>"
     checked = both.mapInArrow(check, f"first_a {node}, first_b {node}")
     return stage(checked.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")), "line_links")
 
 
-def duplicates(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, drop (numbers of the lines that go), n_lines, n_linked of every document with lines.
+def duplicates(rows: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+    """doc_id, uid, drop (numbers of the lines that go), n_lines, n_linked of every document with lines.
 
-    ``n_linked`` counts lines that have another text within reach.
+    ``rows`` are numbered. ``n_linked`` counts lines that have another text within reach.
     """
-    found = occurrences(docs)
+    found = occurrences(rows)
+    here = F.struct("doc_id", "uid", "line_no")
     firsts = stage(
-        found.groupBy("high", "id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")),
+        found.groupBy("high", "id").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")),
         "line_firsts",
     )
-    spread = firsts.select("high", "id", "first.doc_id", "first.line_no")
-    links = verified(docs, spread, candidates(docs, edits, least), edits)
+    spread = firsts.select("high", "id", "first.doc_id", "first.uid", "first.line_no")
+    links = verified(rows, spread, candidates(rows, edits, least), edits)
     labels = connected_components(links)
     known = firsts.join(labels, firsts["first"] == labels["node"], "left").where("n > 1 OR label IS NOT NULL")
     known = stage(
@@ -389,21 +419,25 @@ def duplicates(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> D
         "line_classes",
     )
     marked = found.join(known, ["high", "id"], "left")
-    here = F.struct("doc_id", "line_no")
     goes = F.when(F.col("keeper").isNotNull() & (here != F.col("keeper")), F.col("line_no"))
-    return marked.groupBy("doc_id").agg(
-        F.collect_list(goes).alias("drop"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count(F.when(F.col("linked"), 1)).alias("n_linked"),
+    # repeated rows have the same lines
+    copies = F.greatest(F.lit(1), F.count(F.when(F.col("lead"), 1)))
+    each = lambda n: F.floor(n / copies).cast("bigint")
+    return marked.groupBy("doc_id", "uid").agg(
+        F.collect_set(goes).alias("drop"),
+        each(F.count(F.lit(1))).alias("n_lines"),
+        each(F.count(F.when(F.col("linked"), 1))).alias("n_linked"),
     )
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Every row as a struct ``row``, its text without the lines that go, and the counts."""
-    facts = stage(duplicates(docs, edits, least), "line_facts")
-    rows = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col("text").alias("full"))
+    rows = numbered(docs)
+    facts = stage(duplicates(rows, edits, least), "line_facts")
+    full = rows.select("row", "id_of", F.col("uid").alias("uid_of"), F.col("text").alias("full"))
     # by shuffle at every size: what goes grows with the documents
-    joined = rows.join(facts.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    same = full["id_of"].eqNullSafe(F.col("doc_id")) & (full["uid_of"] == F.col("uid"))
+    joined = full.join(facts.hint("merge"), same, "left")
     lines = F.split("full", "\n", -1)
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     kept = F.array_join(F.transform(F.array_except(every, "drop"), lambda i: F.get(lines, i)), "\n")
