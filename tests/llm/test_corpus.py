@@ -112,6 +112,22 @@ def test_phrases_are_longest_matches():
             assert cost[lang] == low and score == pytest.approx(1 - low / high)
 
 
+@pytest.mark.parametrize("cells", [1, 30_000, language_id.DENSE_CELLS])
+def test_large_alphabets_match_in_full(monkeypatch, cells):
+    monkeypatch.setattr(language_id, "DENSE_CELLS", cells)
+    rng = random.Random(5)
+    pools = {"x": [chr(0x4E00 + i) for i in range(900)], "y": [chr(0x5100 + i) for i in range(600)], "z": [*"abcde "]}
+    phrases = {k: ["".join(rng.choices(p, k=5)) for _ in range(250)] for k, p in pools.items()}
+    samples = [(k, " ".join(v)) for k, v in phrases.items()]
+    model = language_id.Model(samples)
+    flat = lambda t: "".join(map(chr, language_id.normal(t)))
+    for want in "xyz" * 4:
+        text = " ".join(rng.choices(phrases[want], k=300)) + "".join(rng.choices([*pools["x"], "ß"], k=9))
+        cost = {s: cross_parse(flat(text), flat(t)) * math.log2(len(flat(t))) for s, t in samples}
+        low, high = sorted(cost.values())[:2]
+        assert model.predict([text]) == [(want, pytest.approx(1 - low / high))] and cost[want] == low
+
+
 def test_language_edges(documents, by_doc):
     rows = [(i, "the cat and the dog", "en") for i in range(40)] + [(i, "der hund und die katze", "de") for i in range(40, 80)]
     rows += [(90, None, "en"), (91, "", None), (92, "123 !!", "de"), (93, "the dog", None), (None, "der hund", "de"), (94, "und die katze " * 20_000, None), (94, "cat and", None)]

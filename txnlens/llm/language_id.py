@@ -30,7 +30,7 @@ from txnlens.llm.tables import columns_of, row_blocks
 SAMPLE_SLOTS = 64
 SLOT_CHARS = 500
 MOST_LANGUAGES = 500
-MOST_CODES = 255  # different letters; rarer ones never match
+DENSE_CELLS = 1 << 24  # of the table for the most common letters; the others are found by binary search
 SEGMENT = 1024
 BLOCK_BYTES = 3 << 20  # of text in one block
 UNKNOWN = "und"
@@ -107,40 +107,55 @@ class Model:
     """The automata of all languages in one table.
 
     ``table[state + code]`` is twice the next state, plus one if a phrase ended before the
-    character. States are multiples of the number of codes.
+    character. States are multiples of ``width``, the number of codes that have a column. Transitions by
+    other codes are in ``values``, by row and code in ``keys``, which are sorted.
     """
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = [lang for lang, _ in samples]
         texts = [normal(text) for _, text in samples]
         seen, counts = np.unique(np.concatenate([np.zeros(0, "<u4"), *texts]), return_counts=True)
-        common = seen[np.argsort(-counts, kind="stable")][:MOST_CODES]
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[common] = np.arange(1, len(common) + 1)
-        width = len(common) + 1
-        tables, self.starts, base = [], [], 0
+        self.code = np.zeros(0x110000, np.uint32)
+        self.code[seen[np.argsort(-counts, kind="stable")]] = np.arange(1, len(seen) + 1)
+        states = sum(2 * len(text) + 2 for text in texts)  # at most
+        self.width = width = 1 + min(len(seen), max(0, DENSE_CELLS // max(1, states) - 1))
+        tables, keys, values, self.starts, base = [], [], [], [], 0
         for text in texts:
             step = suffix_automaton(self.code[text].tolist())
             if base + (len(step) + 1) * width >= 2**30:
                 raise ValueError("the languages' samples are too large together")
             # the last row is where a parse starts and where a letter outside the sample leads: no
             # phrase goes on from there
-            fresh = np.full(width, len(step), np.int32)
-            for c, q in step[0].items():
-                if c:
-                    fresh[c] = q
-            table = np.tile((fresh * width + base) * 2 + 1, (len(step) + 1, 1))
             rows = np.repeat(np.arange(len(step)), [len(s) for s in step])
             cols = np.array([c for s in step for c in s], np.int64)
             to = np.array([q for s in step for q in s.values()], np.int64)
-            known = cols > 0
-            table[rows[known], cols[known]] = (to[known] * width + base) * 2
+            first = rows == 0
+            fresh = np.full(width, len(step), np.int32)
+            dense = cols < width
+            fresh[cols[first & dense]] = to[first & dense]
+            table = np.tile((fresh * width + base) * 2 + 1, (len(step) + 1, 1))
+            table[rows[dense], cols[dense]] = (to[dense] * width + base) * 2
+            begin = first & ~dense
+            rows = np.concatenate([rows[~dense], np.full(begin.sum(), len(step))]) + base // width
+            keys.append(rows << 21 | np.concatenate([cols[~dense], cols[begin]]))
+            values.append((np.concatenate([to[~dense], to[begin]]) * width + base) * 2 + (rows == len(step) + base // width))
             tables.append(table.ravel())
             self.starts.append(base + len(step) * width)
             base += table.size
         self.table = np.concatenate([np.zeros(0, np.int32), *tables])
+        self.keys = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(self.keys)
+        self.keys, self.values = self.keys[order], np.concatenate([np.zeros(0, np.int64), *values])[order].astype(np.int32)
         self.bits = np.log2(np.array([max(2, len(t)) for t in texts]))
 
+    def rare(self, state: np.ndarray, codes: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Where codes without a column lead: on, else to a new phrase, else to ``to``."""
+        for rows in (np.broadcast_to(np.array(self.starts)[:, None], state.shape), state):
+            key = rows.astype(np.int64) // self.width << 21 | codes
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to = np.where(self.keys[at] == key, self.values[at], to)
+        return to
+
     def phrases(self, segments: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Phrases of each segment (start, size; the longest first) in each language."""
         state = np.repeat(np.array(self.starts, np.int32)[:, None], len(segments), axis=1)
@@ -148,7 +163,10 @@ class Model:
         for t in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -t, "left"))  # segments longer than t
             now = codes[segments[:live] + t]
-            to = self.table[state[:, :live] + now]
+            out = now >= self.width
+            to = self.table[state[:, :live] + np.where(out, 0, now).astype(np.int32)]
+            if out.any():
+                to[:, out] = self.rare(state[:, :live][:, out], now[out], to[:, out])
             count[:, :live] += to & 1
             state[:, :live] = to >> 1
         return count
