@@ -27,7 +27,10 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go."""
-    found = language_id.predict(docs, language_id.learn(docs))
+    samples = language_id.learn(docs)
+    if not samples:  # nothing to tell languages by
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, samples)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
