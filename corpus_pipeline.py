@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through five stages, each written and read again.
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last return
-the columns of documents. ``doc_id`` names a document: rows that share one are kept or dropped
-together, and rows without one are never dropped as copies or as contaminated.
+the columns of documents. Every row is judged by itself, whether it has a ``doc_id``, shares it or not:
+stages that drop documents number the rows first.
 """
 
 from __future__ import annotations
@@ -18,11 +18,17 @@ from txnlens.llm.tables import columns_of, stage, table
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``gone``."""
-    gone = stage(gone.select("doc_id").distinct(), "gone")
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, uid, text): every row as a struct and its number; written, so that numbers hold."""
+    rows = stage(docs.select(F.struct(*columns_of(docs)).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    return rows.select("row", "uid", F.col("row.text").alias("text"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose uid isn't in ``gone``, as documents."""
+    gone = stage(gone.select("uid"), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(columns_of(docs))
+    return rows.join(F.broadcast(gone) if few else gone, "uid", "left_anti").select("row.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +48,22 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints, the one with the smallest doc_id."""
-    groups = simhash.near_dedup(docs)
-    return without(docs, groups.where("doc_id <> component_id"))
+    """Of rows with near fingerprints, the one with the smallest doc_id; those without one come last."""
+    rows = numbered(docs)
+    groups = simhash.near_dedup(rows.select(F.col("uid").alias("doc_id"), "text"))
+    ids = rows.select("uid", F.col("row.doc_id").alias("id_of"))
+    members = groups.select(F.col("doc_id").alias("uid"), "component_id").join(ids, "uid")
+    members = stage(members.select("component_id", F.struct(F.isnull("id_of").alias("none"), "id_of", "uid").alias("place")), "members")
+    keepers = members.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = members.join(keepers.select("component_id", "keeper.uid"), "component_id").where("place.uid <> uid")
+    return without(rows, gone.select("place.uid"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages don't make up a twentieth of."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, judged.where("contaminated"))
+    rows = numbered(docs)
+    judged = decontaminate.decontaminate(rows.select(F.col("uid").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, judged.where("contaminated").select(F.col("doc_id").alias("uid")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,3 +7,15 @@ def test_documents_stay_if_there_is_no_language_to_learn(spark, documents):
     rows = [(1, "a text"), (2, "12 !"), (3, None), (None, "\u00e9")]
     got = corpus_pipeline.known_language(spark, documents(rows), "").collect()
     assert sorted(r["text"] for r in got) == ["a text", "\u00e9"]
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(spark, documents, tmp_path):
+    bad, good, copied = "the benchmark passage itself", "clean words of another kind", "one text that is there many times"
+    spark.createDataFrame([(None, bad)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for doc in (None, 5):
+        docs = documents([(doc, bad), (doc, good), (1, "x y z")])
+        got = corpus_pipeline.clean(spark, docs, str(tmp_path)).collect()
+        assert sorted(r["text"] for r in got) == [good, "x y z"] and "a.b" in got[0].asDict()
+        docs = documents([(doc, copied), (doc, copied), (3, copied), (doc, good)])
+        got = corpus_pipeline.one_of_each(spark, docs, "").collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(3, copied), (doc or 0, good)])

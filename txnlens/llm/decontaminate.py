@@ -10,7 +10,7 @@ words, one pass over the index for each.
 
 Two words count as the same if their 64-bit hashes are equal. Defined results: null and empty texts
 have no words and no hits; repeated rows are documents of their own; items without words are never
-found; items that share an id are one item; an empty table of either kind gives no hits; further
+found; items that share an id are one item, also those without one, which are named ""; an empty table of either kind gives no hits; further
 columns are not read.
 """
 
@@ -30,6 +30,7 @@ from txnlens.llm.words import word_codes
 
 WINDOW = 13
 ITEM_WORDS = 2_000_000
+NO_ID = ""  # name of items without an id
 SHARD_BYTES = 3 << 20  # of text
 
 INDEX_SCHEMA = (
@@ -155,8 +156,9 @@ def hashed_items(items: DataFrame) -> DataFrame:
                 ["item", "hashes", "n"],
             )
 
-    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    return stage(rows.where("item IS NOT NULL").mapInArrow(run, "item string, hashes binary, n bigint"), "items").where("n > 0")
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(NO_ID))
+    rows = items.select(name.alias("item"), F.col("text").cast("binary").alias("text"))
+    return stage(rows.mapInArrow(run, "item string, hashes binary, n bigint"), "items").where("n > 0")
 
 
 def item_blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
