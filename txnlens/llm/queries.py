@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, ngram_lm, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, ngram_lm, packing, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +117,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+    at = (F.col("p.offset") * 4 + 1).cast("int")
+    return sequences.select("sequence_id", "ids", F.explode("pieces").alias("p")).select(
+        "p.doc_id",
+        "p.piece",
+        "p.start",
+        F.col("p.length").cast("bigint").alias("length"),
+        F.crc32(F.substring("ids", at, F.col("p.length") * 4)).alias("ids_crc32"),
+        "sequence_id",
+        "p.offset",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -130,5 +144,6 @@ QUERIES = {
         op8_token_planes,
         op9_simhash_dedup,
         op10_chat_format,
+        op11_best_fit_packing,
     )
 }
