@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, decontaminate, exact_dedup, language_id, line_dedup, ngram_lm, packing, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_lm, packing, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -131,6 +131,18 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    label = F.col("label").cast("bigint")
+    vectors = rows.where(finite).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("q"),
+    )
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -145,5 +157,6 @@ QUERIES = {
         op9_simhash_dedup,
         op10_chat_format,
         op11_best_fit_packing,
+        op12_hard_negatives,
     )
 }

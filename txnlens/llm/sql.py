@@ -101,4 +101,29 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(t, 4) AS log_score,
 FROM docs LEFT JOIN (SELECT doc_id, sum(s) AS t FROM scored GROUP BY doc_id) USING (doc_id)
 """
 
-SQL = {"op1_line_dedup": OP1, "op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
+OP12 = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS uid, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.uid <> b.uid
+), positives AS (
+  SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS place
+  FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (
+         PARTITION BY p.uid, place ORDER BY score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON n.uid = p.uid AND NOT same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+SQL = {"op12_hard_negatives": OP12, "op1_line_dedup": OP1, "op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
