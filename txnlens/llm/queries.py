@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_lm, packing, secrets, simhash, token_planes
+from txnlens.llm import bpe, chat, collocations, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_lm, packing, secrets, simhash, token_planes
 from txnlens.llm.tables import default_parts, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -143,6 +143,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -158,5 +162,6 @@ QUERIES = {
         op10_chat_format,
         op11_best_fit_packing,
         op12_hard_negatives,
+        op13_collocations,
     )
 }

@@ -126,4 +126,47 @@ FROM positives p JOIN scored n ON n.uid = p.uid AND NOT same
 QUALIFY rank <= 3
 """
 
-SQL = {"op12_hard_negatives": OP12, "op1_line_dedup": OP1, "op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
+OP13 = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), one AS (
+  SELECT lang, a, count(*) AS f FROM (SELECT lang, unnest(w) AS a FROM words) GROUP BY ALL
+), two AS (
+  SELECT lang, a, b, count(*) AS f
+  FROM (SELECT lang, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM words WHERE len(w) > 1) GROUP BY ALL HAVING f >= 10
+), three AS (
+  SELECT lang, a, b, c, count(*) AS f
+  FROM (SELECT lang, unnest(w[:-3]) AS a, unnest(w[2:-2]) AS b, unnest(w[3:]) AS c FROM words WHERE len(w) > 2)
+  GROUP BY ALL HAVING f >= 10
+), longer AS (
+  SELECT lang, a, b, max(f) AS most
+  FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT t.lang, t.a || ' ' || t.b AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two t JOIN one x ON x.lang = t.lang AND x.a = t.a JOIN one y ON y.lang = t.lang AND y.a = t.b
+  LEFT JOIN longer m ON m.lang = t.lang AND m.a = t.a AND m.b = t.b
+  WHERE coalesce(100 * most < 50 * t.f, true)
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 1, x.f, y.f
+  FROM three t JOIN one x ON x.lang = t.lang AND x.a = t.a
+  JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+  UNION ALL
+  SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, t.f, 2, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b
+  JOIN one y ON y.lang = t.lang AND y.a = t.c
+), scored AS (
+  SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM scored JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang) USING (lang)
+QUALIFY rank <= 2000
+"""
+
+SQL = {"op13_collocations": OP13, "op12_hard_negatives": OP12, "op1_line_dedup": OP1, "op6_lm_score": OP6, "op4_exact_dedup": OP4, "op10_chat_format": OP10}
