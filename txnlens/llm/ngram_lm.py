@@ -8,9 +8,9 @@ its document doesn't occur. Counts are those of all *other* documents: a documen
 out, else nothing would ever back off.
 
 Documents are packed into blocks of some megabytes, written once. Each block asks for its different
-n-grams, keyed by a 64-bit hash and split by hash into as many buckets as the data needs; a bucket is
-a partition of the count tables. There the blocks' own counts of a key are added up and every request
-is answered in its own order, so answers carry no keys. Back at its block, a document's n-grams are
+n-grams, keyed by a 64-bit hash and split by hash into as many buckets as the data needs. In a bucket
+the blocks' own counts of a key are added up and every request is answered in its own order, so answers carry
+no keys; there is no lasting count table. Back at its block, a document's n-grams are
 looked up and summed. A frequent n-gram is one request per block, so no bucket is hot.
 
 Defined results: a null or empty text has no words and a null score; repeated rows are documents of
@@ -190,10 +190,10 @@ def document_scores(block: Block, totals: np.ndarray, all_words: int) -> np.ndar
     return np.bincount(block.doc, weights=score, minlength=len(block.n_words))
 
 
-def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score: the sum over the document's words, null without words.
 
-    ``order`` is the number of words in the longest n-grams; production runs use ``ORDER``.
+    ``order`` is the number of words in the longest n-grams.
     """
     blocks = pack(docs)
     all_words = blocks.agg(F.sum("words")).first()[0] or 0

@@ -76,26 +76,27 @@ WITH docs AS (
   FROM documents
 ), places AS (
   SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM docs
-), pairs AS (
-  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY place) AS v FROM places
+), grams AS (
+  SELECT doc_id, place, w, lag(w) OVER here AS v, lag(w, 2) OVER here AS u
+  FROM places WINDOW here AS (PARTITION BY doc_id ORDER BY place)
 ), counted AS (
-  SELECT doc_id, v, w,
-         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS vw,
-         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c,
-         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others
-  FROM pairs
-), firsts AS (
-  SELECT *, (SELECT count(*) FROM pairs) AS n FROM counted
-), of_first AS (
-  SELECT w AS v, count(*) AS total FROM pairs GROUP BY w
-), own_first AS (
-  SELECT doc_id, w AS v, count(*) AS own FROM pairs GROUP BY ALL
+  -- occurrences in other documents
+  SELECT doc_id, place, u, v,
+         count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS three,
+         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS two,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS one,
+         greatest(1, count(*) OVER () - count(*) OVER (PARTITION BY doc_id)) AS others
+  FROM grams
+), contexts AS (
+  SELECT *, lag(two) OVER here AS two_before, lag(one) OVER here AS one_before
+  FROM counted WINDOW here AS (PARTITION BY doc_id ORDER BY place)
 ), scored AS (
-  SELECT f.doc_id,
-         CASE WHEN f.v IS NOT NULL AND vw > 0 THEN ln(vw / (total - own))
-              WHEN c > 0 THEN ln(0.4 * c / greatest(1, others))
-              ELSE ln(0.4 * 0.4 / greatest(1, others)) END AS s
-  FROM firsts f LEFT JOIN of_first USING (v) LEFT JOIN own_first o ON o.doc_id = f.doc_id AND o.v = f.v
+  SELECT doc_id,
+         CASE WHEN u IS NOT NULL AND three > 0 THEN ln(three / two_before)
+              WHEN v IS NOT NULL AND two > 0 THEN ln(0.4 * two / one_before)
+              WHEN one > 0 THEN ln(0.4 * 0.4 * one / others)
+              ELSE ln(0.4 * 0.4 * 0.4 / others) END AS s
+  FROM contexts
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(t, 4) AS log_score, round(t / len(words), 6) AS per_word
 FROM docs LEFT JOIN (SELECT doc_id, sum(s) AS t FROM scored GROUP BY doc_id) USING (doc_id)
