@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,10 @@ def model_rows(featured: DataFrame, na_policy: str = "drop") -> DataFrame:
     raise ValueError(f"unknown na_policy: {na_policy}")
 
 
+def scaled_name(feature: str) -> str:
+    return f"scaled_{feature}"
+
+
 @dataclass(frozen=True)
 class Scale:
     """Mean and population deviation of each column, learnt from training rows."""
@@ -49,6 +53,14 @@ class Scale:
             }
         )
 
+    def stage(self) -> SQLTransformer:
+        """The same as a stage of a model, which is saved with it; scaled columns are added."""
+        columns = [
+            f"(CAST(`{name}` AS DOUBLE) - ({self.mean[name]!r}D)) / {self.std[name] or 1.0!r}D AS `{scaled_name(name)}`"
+            for name in self.mean
+        ]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+
 
 def fit_scale(train: DataFrame, columns: list[str] = FEATURES) -> Scale:
     """Learn the scale in one pass; a constant column is only centred."""
@@ -68,15 +80,13 @@ def train(
     rate: float = LEARNING_RATE,
     seed: int = SEED,
 ) -> PipelineModel:
-    """Fit assembler, scaler and boosted trees.
+    """Fit scale, assembler and boosted trees.
 
     The assembled rows are read once per tree level, so they should be persisted by the caller.
     """
     stages = [
-        VectorAssembler(inputCols=FEATURES, outputCol="raw_features", handleInvalid="error"),
-        StandardScaler(
-            inputCol="raw_features", outputCol="features", withMean=True, withStd=True
-        ),
+        fit_scale(rows).stage(),
+        VectorAssembler(inputCols=[scaled_name(c) for c in FEATURES], outputCol="features", handleInvalid="error"),
         GBTClassifier(
             featuresCol="features",
             labelCol=LABEL,
@@ -91,6 +101,7 @@ def train(
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Add the predicted class and the probability of an accident."""
+    given = [F.col(f"`{c}`") for c in rows.columns if c not in (PREDICTION, PROBABILITY)]
     return (
         model.transform(rows)
         .withColumns(
@@ -99,10 +110,15 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
                 PROBABILITY: vector_to_array("probability")[1],
             }
         )
-        .drop("raw_features", "features", "rawPrediction", "probability", "prediction")
+        .select(*given, PREDICTION, PROBABILITY)
     )
 
 
+def scaled(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows with the scaled features, as the trees see them."""
+    return model.stages[0].transform(rows)
+
+
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
     """How much each feature contributed to the trees' splits."""
     weights = model.stages[-1].featureImportances.toArray().tolist()

@@ -748,6 +748,16 @@ a AS (
             select=f"SELECT transaction_id, is_test, {scaled} FROM parts CROSS JOIN sc",
         ),
         "one_hot": chain(TXN, select=_one_hot()),
+        "model_checks": chain(
+            ACCIDENTS,
+            features("acc"),
+            f"whole_rows AS (SELECT * FROM feat WHERE {_COMPLETE})",
+            _split("whole_rows", LABEL),
+            select=f"""SELECT p.transaction_id, a.customer_id, a.amount, a.recipient_entity, a.city,
+              {", ".join(f"a.{flag}" for flag in FLAGS)}, label AS {LABEL}, true AS same_probability,
+              true AS same_class, true AS parts_add_up, true AS same_nodes
+              FROM parts p JOIN acc a USING (transaction_id) WHERE is_test""",
+        ),
     }
     return {**queries, "burst_groups_split": queries["burst_groups"]}
 

@@ -14,7 +14,7 @@ from txnlens.constants import BANK_CITIES, CITY_POPULATION, FEATURES, FLAGS, LAB
 from txnlens.functions.calendar import calendar_columns, intensity, iso_text, step_to_timestamp
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
-from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling
+from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling, trees
 from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
@@ -607,11 +607,72 @@ def feature_importance(spark, sf_dir):
     return gain.join(model.permutation_importance(fitted, scored), "feature")
 
 
+def _saved(spark, fitted):
+    """Where a model is saved."""
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    return path
+
+
+@query
+def model_nodes(spark, sf_dir):
+    return trees.node_table(spark, _saved(spark, _fitted(spark, sf_dir)[0]))
+
+
+@query
+def row_attribution(spark, sf_dir):
+    """What each feature adds to the score of every test row."""
+    fitted, scored, _ = _fitted(spark, sf_dir)
+    nodes = trees.node_table(spark, _saved(spark, fitted))
+    return trees.attribution(nodes, model.scaled(fitted, scored))
+
+
+@query
+def attribution_summary(spark, sf_dir):
+    return trees.mean_size(row_attribution(spark, sf_dir))
+
+
+@query
+def model_checks(spark, sf_dir):
+    """The validation view scored from the nodes of the saved model, and what holds of each row.
+
+    The probability and the class are those that the model's own classes give, before and after
+    loading, what the features add makes up the margin, and the loaded model has the same nodes.
+    """
+    fitted, scored, shown = _fitted(spark, sf_dir)
+    path = _saved(spark, fitted)
+    loaded = PipelineModel.load(path)
+    nodes, again = (stage(trees.node_table(spark, p), "nodes") for p in (path, _saved(spark, loaded)))
+    moved = nodes.exceptAll(again).count() + again.exceptAll(nodes).count()
+    rows = stage(model.scaled(loaded, shown.drop(evaluate.PREDICTION, evaluate.PROBABILITY)), "scaled")
+    view = trees.score(nodes, rows).select("transaction_id", *evaluate.validation_view(shown).columns)
+    ours = view.withColumnsRenamed({evaluate.PREDICTION: "class", evaluate.PROBABILITY: "p"})
+    theirs = scored.select("transaction_id", F.col(evaluate.PREDICTION).alias("class_1"), F.col(evaluate.PROBABILITY).alias("p_1"))
+    after = model.score(loaded, scored.select("transaction_id", *FEATURES)).select(
+        "transaction_id", F.col(evaluate.PREDICTION).alias("class_2"), F.col(evaluate.PROBABILITY).alias("p_2")
+    )
+    parts = trees.attribution(nodes, rows).select(
+        "transaction_id", F.col(trees.MARGIN).alias("m"), sum((F.col(trees.added(c)) for c in FEATURES), F.col(trees.BASE)).alias("m_1")
+    )
+    same = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9
+    checks = {
+        "same_probability": same("p", "p_1") & same("p", "p_2"),
+        "same_class": (F.col("class") == F.col("class_1")) & (F.col("class") == F.col("class_2")),
+        "parts_add_up": same("m", "m_1") & same("p", "p_3"),
+        "same_nodes": F.lit(moved == 0),
+    }
+    joined = ours.join(theirs, "transaction_id").join(after, "transaction_id").join(
+        parts.withColumn("p_3", 1 / (1 + F.exp(-2 * F.col("m")))), "transaction_id"
+    )
+    return joined.withColumns(checks).select(
+        "transaction_id", "customer_id", "amount", "recipient_entity", "city", *FLAGS, LABEL, *checks
+    )
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     fitted, scored, _ = _fitted(spark, sf_dir)
-    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
-    fitted.write().overwrite().save(path)
+    path = _saved(spark, fitted)
     again = model.score(PipelineModel.load(path), scored.select("transaction_id", *FEATURES))
     return again.select("transaction_id", evaluate.PREDICTION, evaluate.PROBABILITY)
 
