@@ -72,8 +72,8 @@ def shapley(forest, x, names):
 
 def test_attribution_against_all_subsets(fitted):
     nodes, rows, _ = fitted
-    forest = trees.by_tree(nodes)[:2]
-    few = nodes.where("tree < 2")
+    forest = trees.by_tree(nodes)[1:2]
+    few = nodes.where("tree = 1")
     used = sorted({n["feature"] for t in forest for n in t.values() if n["feature"]})
     assert 2 <= len(used) <= 10
     some = rows.orderBy("transaction_id").limit(12)
