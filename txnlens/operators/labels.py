@@ -160,3 +160,72 @@ def typo_candidates(txn: DataFrame) -> DataFrame:
         F.col("new.payments").alias("payments"),
         F.col("old.payments").alias("likely_payments"),
     )
+
+
+def shortened(text: Column) -> Column:
+    """The text and all that is left of it after one or two characters have gone."""
+    length = F.length(text)
+
+    def without(i: Column, of: Column = text) -> Column:
+        return F.concat(F.substring(of, F.lit(1), i - 1), F.substring(of, i + 1, length))
+
+    one = F.transform(F.sequence(F.lit(1), length), without)
+    # the later of two places goes first, so the earlier one keeps its number
+    two = F.flatten(
+        F.transform(
+            F.sequence(F.lit(2), length),
+            lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: without(i, without(j))),
+        )
+    )
+    none = F.array().cast("array<string>")
+    return F.array_distinct(
+        F.concat(F.array(text), F.when(length > 0, one).otherwise(none), F.when(length > 1, two).otherwise(none))
+    )
+
+
+def edited_accounts(txn: DataFrame, edits: int = 2) -> DataFrame:
+    """Account numbers within two edits of one that the customer used earlier.
+
+    An edit puts in, takes out or changes a digit. Two numbers that are at most two edits apart have a form
+    in common after up to two digits of each have gone, so every number is written once under the hash
+    of each such form and numbers are paired where they meet, which is then verified. A form of k digits
+    has at most 100 (k + 2)(k + 1) / 2 numbers of k + 2 digits, so groups are bounded by the length of account
+    numbers, not by the data. Of two numbers first seen at the same time the one in the payment with the
+    smaller id is the earlier one.
+    """
+    if not 1 <= edits <= 2:
+        raise ValueError("edits must be 1 or 2")
+    seen = F.struct(F.col("timestamp").alias("at"), F.col("transaction_id").alias("id"))
+    accounts = (
+        txn.where(is_digits("recipient_entity"))
+        .groupBy("customer_id", F.col("recipient_entity").alias("number"))
+        .agg(F.min(seen).alias("first"), F.count(F.lit(1)).alias("payments"))
+    )
+    forms = F.transform(shortened(F.col("number")), lambda form: F.xxhash64(form))
+    met = (
+        accounts.select("customer_id", F.explode(forms).alias("form"), F.struct("first", "number", "payments").alias("account"))
+        .groupBy("customer_id", "form")
+        .agg(F.collect_list("account").alias("accounts"))
+        .where(F.size("accounts") > 1)
+    )
+
+    def earlier(new: Column) -> Column:
+        """The accounts met that are older and near, each with this one."""
+        near = F.filter(
+            "accounts",
+            lambda old: (old["first"] < new["first"]) & (F.levenshtein(old["number"], new["number"], edits) >= 0),
+        )
+        return F.transform(near, lambda old: F.struct(new.alias("new"), old.alias("old")))
+
+    pairs = met.select("customer_id", F.inline(F.flatten(F.transform("accounts", earlier))))
+    # pairs meet under several forms
+    return pairs.distinct().select(
+        "customer_id",
+        F.col("new.number").alias("recipient_entity"),
+        F.col("old.number").alias("likely_recipient"),
+        F.col("new.first.at").alias("first_seen"),
+        F.col("old.first.at").alias("likely_first_seen"),
+        F.levenshtein("old.number", "new.number").alias("edits"),
+        F.col("new.payments").alias("payments"),
+        F.col("old.payments").alias("likely_payments"),
+    )

@@ -693,6 +693,18 @@ a AS (
                 AND o.seen < w.seen
               WHERE hamming(w.r, o.r) <= 2""",
         ),
+        "edited_accounts": chain(
+            ACCIDENTS,
+            """
+a AS (
+  SELECT customer_id, recipient_entity AS r, min({'at': timestamp, 'id': transaction_id}) AS f, count(*) AS n
+  FROM acc WHERE regexp_full_match(recipient_entity, '[0-9]+') GROUP BY 1, 2)""",
+            select="""SELECT w.customer_id, w.r AS recipient_entity, o.r AS likely_recipient,
+              epoch_us(w.f.at) AS first_seen, epoch_us(o.f.at) AS likely_first_seen,
+              CAST(levenshtein(w.r, o.r) AS INT) AS edits, w.n AS payments, o.n AS likely_payments
+              FROM a w JOIN a o ON w.customer_id = o.customer_id AND o.f < w.f
+              WHERE levenshtein(w.r, o.r) <= 2""",
+        ),
         "confusion_matrix": chain(
             SCORED,
             select=" UNION ALL ".join(

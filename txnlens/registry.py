@@ -504,6 +504,14 @@ def typo_candidates(spark, sf_dir):
     )
 
 
+@query
+def edited_accounts(spark, sf_dir):
+    found = labels.edited_accounts(_accidents(spark, sf_dir))
+    return found.withColumns(
+        {c: F.unix_micros(c) for c in ("first_seen", "likely_first_seen")}
+    )
+
+
 # --- evaluation and reports --------------------------------------------------------------------
 
 
