@@ -68,7 +68,7 @@ def matrix(column: pa.Array, dims: int, kind: type) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     values = column.flatten().to_numpy(zero_copy_only=False)
     if len(sizes) and (sizes == dims).all():
-        return values.astype(kind).reshape(-1, dims)
+        return values.astype(kind).reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), kind)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
@@ -136,6 +136,7 @@ def search(anchors: Vectors, rows: Vectors, best: Best, same_label: bool) -> Non
             open_band = best.least[ai] <= best.high[ai]
             floor = np.where(open_band, best.least[ai], NO_ID).min(axis=1).astype(np.float64)
             ceiling = np.where(open_band, best.high[ai], -NO_ID).max(axis=1).astype(np.float64)
+            floor[floor <= -NO_ID], ceiling[ceiling >= NO_ID] = -np.inf, np.inf  # no bound
             for a, b in zip(levels, levels[1:]):
                 keep_a, keep_r = alive.any(axis=1), alive.any(axis=0)
                 ai, ri, floor, ceiling, alive = ai[keep_a], ri[keep_r], floor[keep_a], ceiling[keep_a], alive[np.ix_(keep_a, keep_r)]
