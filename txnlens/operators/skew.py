@@ -45,14 +45,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# What is being staged inside ``tidied``, innermost last.
+_owned: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, so its rows are fixed from here on."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _owned:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives; the tables that it staged and that its result doesn't read are removed."""
+    _owned.append([])
+    try:
+        result = build()
+    finally:
+        paths = _owned.pop()
+    read = {file.rsplit("/", 2)[-2] for file in result.inputFiles()}
+    jvm, conf = result.sparkSession._jvm, result.sparkSession._jsc.hadoopConfiguration()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+    return result
+
+
 def crowded_customers(df: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
     """Customers with more than ``limit`` rows as a staged table; how many, and their rows.
 
