@@ -32,16 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.llm.tables import default_parts, row_blocks, stage
+from txnlens.llm.tables import default_parts, release, row_blocks, stage
 
 # The marks that end a piece, and white space between words.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 
 UNKNOWN = "und"
-BLOCK_BYTES = 8 << 20
-TASK_BYTES = 12 << 20  # of text whose edges one task adds up
-MERGE_EDGES = 4_000_000  # edges that a task gathers before it adds them up
+BLOCK_BYTES = 4 << 20
+TASK_BYTES = 8 << 20  # of text whose edges one task adds up
+MERGE_EDGES = 2_000_000  # edges that a task gathers before it adds them up
 # The sample in which hot words are found; it decides only where rows go.
 SAMPLE_SHARE, SAMPLE_ROWS = 0.01, 2_000
 MOST_HOT = 100_000
@@ -130,6 +130,7 @@ def hot_words(docs: DataFrame, seed: int, parts: int) -> tuple[np.ndarray, np.nd
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(1, docs.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             x, y, _, n = block_edges(words_of(block), seed)
             pair, at = np.unique(mixed(x, y), return_inverse=True)
@@ -154,6 +155,7 @@ def edge_rows(docs: DataFrame, seed: int, hot: tuple[np.ndarray, np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = sent.value
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             x, y, z, n = block_edges(words_of(block), seed)
             if not len(x):
@@ -273,6 +275,7 @@ def vocabulary(docs: DataFrame, needed: DataFrame, seed: int) -> tuple[DataFrame
     """(name, lang, word) of all words whose name is needed, and (lang, n) of all words; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             words = words_of(block)
             counts = np.bincount(words.code, minlength=len(words.different))
