@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from txnlens.llm.tables import row_blocks
+from txnlens.llm.tables import held, row_blocks
 from txnlens.llm.vocab import CLASSES, SPACE, WordIds, byte_symbols, is_exotic
 
 # Of text or ids in one block.
@@ -200,10 +199,9 @@ def is_space(word: bytes) -> bool:
     return char != "" and ord(char) < len(CLASSES) and CLASSES[ord(char)] == SPACE
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> BpeEncoder:
     """One encoder per worker process and file."""
-    return BpeEncoder(path)
+    return held((BpeEncoder.__name__, path), lambda: BpeEncoder(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

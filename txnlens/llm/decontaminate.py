@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.tables import row_blocks, stage
+from txnlens.llm.tables import release, row_blocks, stage
 from txnlens.llm.words import word_codes
 
 WINDOW = 13
@@ -46,6 +46,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         part = TaskContext.get().partitionId()
+        release()
         for seq, block in enumerate(row_blocks(batches, most=SHARD_BYTES)):
             codes, n_words, hashes = word_codes(block.column("text").to_pylist())
             rank = np.empty(len(hashes), np.int32)
@@ -147,6 +148,7 @@ def hashed_items(items: DataFrame) -> DataFrame:
     """(item, hashes, n) of items with words: the 64-bit hashes of their words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches):
             codes, counts, hashes = word_codes(block.column("text").to_pylist())
             raw, ends = hashes[codes].tobytes(), np.cumsum(counts).tolist()

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlens.llm.tables import columns_of, row_blocks
+from txnlens.llm.tables import columns_of, release, row_blocks
 
 # The learning sample: the start of one document from each of SAMPLE_SLOTS hash slots per language.
 SAMPLE_SLOTS = 64
-SLOT_CHARS = 500
+SLOT_CHARS = 1_000
 MOST_LANGUAGES = 500
 DENSE_CELLS = 1 << 24  # of the table for the most common letters; the others are found by binary search
 SEGMENT = 1024
@@ -199,18 +199,15 @@ class Model:
         return out
 
 
-@lru_cache(maxsize=1)
-def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model(list(samples))
-
-
 def predict(docs: DataFrame, samples: list[tuple[str, str]]) -> DataFrame:
     """Every row as a struct ``row``, with lang_pred and score; only the text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(samples))
+    # built once: a table of at most DENSE_CELLS cells and the samples' rare letters
+    sent = docs.sparkSession.sparkContext.broadcast(Model(samples))
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(sent.value)
+        release()
+        model = sent.value
         both = (pa.record_batch([b.column(0), b.column(0).field("text")], ["row", "text"]) for b in batches)
         for block in row_blocks(both, most=BLOCK_BYTES):
             found = model.predict(block.column("text").to_pylist())

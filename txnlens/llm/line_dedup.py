@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.components import connected_components
-from txnlens.llm.tables import columns_of, default_parts, row_blocks, stage
+from txnlens.llm.tables import columns_of, default_parts, release, row_blocks, stage
 
 EDITS = 2
 MIN_CHARS = 20
@@ -68,7 +68,7 @@ def digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return high, low << np.uint64(32) | parity(lines)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=4_096)
 def plan(chars: int, edits: int, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, end, seed) of the segments of a line of this length, and of its other probes.
 
@@ -132,6 +132,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             doc_ids, uids, numbers, leads, lines = [], [], [], [], []
             for doc, uid, text in zip(*(block.column(c).to_pylist() for c in ("id_of", "uid", "text"))):
@@ -167,6 +168,7 @@ def bucketed_keys(docs: DataFrame, buckets: int, edits: int, least: int) -> Data
     """Index and probe keys of the different lines of each block, by hash bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             lines = list(
                 {n for text in block.column("text").to_pylist() for n in map(normal, (text or "").split("\n")) if len(n) >= least}
@@ -184,7 +186,7 @@ def bucketed_keys(docs: DataFrame, buckets: int, edits: int, least: int) -> Data
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
                 packed.append((keys[order], owner[order], cuts))
             rows = []
-            for b in range(buckets):
+            for b in np.flatnonzero(sum(np.diff(cuts) for _, _, cuts in packed)).tolist():
                 row = [b]
                 for keys, owner, cuts in packed:
                     a, z = cuts[b], cuts[b + 1]
@@ -366,6 +368,7 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, edits: int) -
     rows = source.join(side, same).select("doc_id", "uid", "text", "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches, most=BLOCK_BYTES):
             out = []
             for row in block.to_pylist():

@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from txnlens.llm.bpe import WORDS, BpeEncoder, is_space
-from txnlens.llm.tables import default_parts, row_blocks, stage
+from txnlens.llm.tables import default_parts, held, row_blocks, stage
 from txnlens.llm.vocab import WordIds, byte_symbols
 
 CAPACITY = 4096
@@ -79,9 +78,8 @@ class LibraryEncoder(BpeEncoder):
         return [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.symbol_of))]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return held((LibraryEncoder.__name__, path), lambda: LibraryEncoder(path))
 
 
 def squeezed(ids: np.ndarray) -> bytes:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.components import connected_components
-from txnlens.llm.tables import default_parts, row_blocks, stage
+from txnlens.llm.tables import default_parts, release, row_blocks, stage
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long); written, since it is read several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for block in row_blocks(batches):
             fps = [fingerprint(t, words) for t in block.column("text").to_pylist()]
             signed = np.array(fps, np.uint64).view(np.int64)

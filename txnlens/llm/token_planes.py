@@ -15,7 +15,6 @@ empty result; further columns are not read. One document's ids must fit into mem
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from txnlens.llm.tables import row_blocks, stage
+from txnlens.llm.tables import held, row_blocks, stage
 from txnlens.llm.vocab import WordIds, byte_symbols, is_exotic
 
 BLOCK_IDS = 65_536
@@ -62,9 +61,8 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held((WordEncoder.__name__, path), lambda: WordEncoder(path))
 
 
 def to_planes(ids: np.ndarray, planes: str) -> tuple[bytes, list[int]]:
