@@ -7,12 +7,18 @@ stages that drop documents number the rows first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from txnlens.llm.queries import WORD_BPE
 from txnlens.llm.tables import columns_of, stage, table
+from txnlens.operators.skew import tidied
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 # Ids of documents that go are sent to all tasks up to this many; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -71,12 +77,22 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.round_trip(docs, WORD_BPE)).drop("text")
 
 
+def tidy(step: Step) -> Step:
+    """The same step; of the tables written on the way those stay that its result reads."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return tidied(lambda: step(spark, docs, sf_dir))
+
+    return run_step
+
+
 STAGES = [
-    ("language_id", known_language),
-    ("line_dedup", new_lines),
-    ("simhash_dedup", one_of_each),
-    ("decontamination", clean),
-    ("bpe", tokens),
+    ("language_id", tidy(known_language)),
+    ("line_dedup", tidy(new_lines)),
+    ("simhash_dedup", tidy(one_of_each)),
+    ("decontamination", tidy(clean)),
+    ("bpe", tidy(tokens)),
 ]
 
 # Language ID, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
