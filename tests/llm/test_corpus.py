@@ -178,7 +178,7 @@ def brute_scores(rows):
 @pytest.mark.parametrize("bucket_words", [50, 10**6])
 def test_scores_against_brute_force(documents, corpus, bucket_words):
     rows, _ = corpus
-    got = ngram_lm.score(documents(rows), bucket_words).collect()
+    got = ngram_lm.score(documents(rows), bucket_words, 2).collect()
     seen = [(str(r["doc_id"]), r["n_words"], None if r["log_score"] is None else round(r["log_score"], 6)) for r in got]
     for ours, theirs in zip(sorted(seen, key=str), brute_scores(rows), strict=True):
         assert ours[:2] == theirs[:2] and (ours[2] is theirs[2] or ours[2] == pytest.approx(theirs[2], rel=1e-6))
@@ -186,7 +186,7 @@ def test_scores_against_brute_force(documents, corpus, bucket_words):
 
 def test_scores_of_little(documents):
     assert ngram_lm.score(documents([])).collect() == []
-    got = ngram_lm.score(documents([(1, "alone alone"), (2, None)])).collect()
+    got = ngram_lm.score(documents([(1, "alone alone"), (2, None)]), order=2).collect()
     assert {r["doc_id"]: r["log_score"] for r in got} == {1: pytest.approx(2 * math.log(0.16)), 2: None}
 
 
