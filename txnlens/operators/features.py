@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from txnlens.constants import FEATURES, FLAGS, LABEL
 from txnlens.functions.calendar import MINUTE, SECOND, calendar_columns, seconds_since_midnight
-from txnlens.operators.prefix import Earlier, before, recent
+from txnlens.operators.prefix import Earlier, before, moments_before, recent
 from txnlens.operators.skew import CHUNK, CHUNK_ROWS, CROWDED_ROWS, by_customer
 from txnlens.operators.spans import span_columns
 
@@ -108,6 +108,43 @@ def deviation_columns() -> dict[str, Column]:
     }
 
 
+def usual_amounts(df: DataFrame) -> DataFrame:
+    """How many deviations the amount is off what the customer paid before in this category, and at this hour.
+
+    0 where that is undefined: up to one earlier payment, or equal ones.
+    """
+    kinds = {"category": ["customer_id", "entity_type"], "hour": ["customer_id", "_hour"]}
+    df = moments_before(df.withColumn("_hour", F.hour("timestamp")), "amount", kinds)
+    columns = {}
+    for name in kinds:
+        n, mean, squares = (F.col(f"{part}_{name}") for part in ("_n", "_mean", "_squares"))
+        std = F.sqrt(F.try_divide(squares, (n - 1).cast("double")))
+        off = F.when((n > 1) & (std > 0), F.try_divide(F.col("amount") - mean, std))
+        columns[f"amount_deviation_{name}"] = F.coalesce(off, F.lit(0.0))
+    return df.withColumns(columns)
+
+
+# Halves a payment's part in what is habitual.
+HALF_LIFE_DAYS = 30
+
+
+def habitual_place(df: DataFrame, half_life_days: float = HALF_LIFE_DAYS) -> DataFrame:
+    """The share of the payment's city among the customer's earlier payments, older ones counting less.
+
+    A payment counts half as much after each half-life. Weights are powers of 2 from the year 2000 on, which
+    cancel out in the share; doubles hold 1,000 half-lives each way. Null without earlier payments.
+    """
+    since = _us() - 946_684_800_000_000
+    weight = F.pow(F.lit(2.0), since / (half_life_days * 86_400_000_000))
+    df = before(
+        df,
+        Earlier(["customer_id"], {"_all_weight": ("sum", weight)}),
+        Earlier(["customer_id", "city"], {"_city_weight": ("sum", weight)}),
+    )
+    share = F.try_divide(F.coalesce("_city_weight", F.lit(0.0)), F.col("_all_weight"))
+    return df.withColumn("habitual_place_share", share)
+
+
 def target_label(df: DataFrame) -> DataFrame:
     """1 if any kind of accident is flagged."""
     return df.withColumn(

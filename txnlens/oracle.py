@@ -760,6 +760,34 @@ a AS (
             select=f"SELECT transaction_id, is_test, {scaled} FROM parts CROSS JOIN sc",
         ),
         "one_hot": chain(TXN, select=_one_hot()),
+        "usual_amounts": chain(
+            TXN,
+            """
+usual AS (
+  SELECT transaction_id, amount, avg(amount) OVER c AS mean_c, stddev_samp(amount) OVER c AS std_c,
+    avg(amount) OVER h AS mean_h, stddev_samp(amount) OVER h AS std_h
+  FROM txn WINDOW
+    c AS (PARTITION BY customer_id, entity_type ORDER BY timestamp, transaction_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    h AS (PARTITION BY customer_id, hour(timestamp) ORDER BY timestamp, transaction_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+            select="""SELECT transaction_id,
+              round(CASE WHEN std_c > 0 THEN (amount - mean_c) / std_c ELSE 0 END, 6) AS amount_deviation_category,
+              round(CASE WHEN std_h > 0 THEN (amount - mean_h) / std_h ELSE 0 END, 6) AS amount_deviation_hour
+              FROM usual""",
+        ),
+        "habitual_place": chain(
+            TXN,
+            """
+aged AS (
+  SELECT a.transaction_id, a.city = b.city AS here,
+    pow(2.0, (epoch_us(b.timestamp) - epoch_us(a.timestamp)) / (30 * 86400000000.0)) AS weight
+  FROM txn a LEFT JOIN txn b ON a.customer_id = b.customer_id
+    AND (b.timestamp, b.transaction_id) < (a.timestamp, a.transaction_id))""",
+            select="""SELECT transaction_id,
+              round(coalesce(sum(weight) FILTER (here), 0) / sum(weight), 6) AS habitual_place_share
+              FROM aged GROUP BY transaction_id""",
+        ),
         "model_checks": chain(
             ACCIDENTS,
             features("acc"),
@@ -771,7 +799,8 @@ a AS (
               FROM parts p JOIN acc a USING (transaction_id) WHERE is_test""",
         ),
     }
-    return {**queries, "burst_groups_split": queries["burst_groups"]}
+    split = ["burst_groups", "usual_amounts", "habitual_place"]
+    return {**queries, **{f"{name}_split": queries[name] for name in split}}
 
 
 def _split(source: str, label: str) -> str:

@@ -339,6 +339,36 @@ def target_label(spark, sf_dir):
     return df.select("transaction_id", *FLAGS, LABEL)
 
 
+def _usual_amounts(spark, sf_dir, **sizes):
+    df = by_customer(_txn(spark, sf_dir), features.usual_amounts, **sizes)
+    return rounded(df.select("transaction_id", "amount_deviation_category", "amount_deviation_hour"))
+
+
+def _habitual_place(spark, sf_dir, **sizes):
+    df = by_customer(_txn(spark, sf_dir), features.habitual_place, **sizes)
+    return rounded(df.select("transaction_id", "habitual_place_share"))
+
+
+@query
+def usual_amounts(spark, sf_dir):
+    return _usual_amounts(spark, sf_dir)
+
+
+@query
+def usual_amounts_split(spark, sf_dir):
+    return _usual_amounts(spark, sf_dir, crowded_rows=0, chunk_rows=500)
+
+
+@query
+def habitual_place(spark, sf_dir):
+    return _habitual_place(spark, sf_dir)
+
+
+@query
+def habitual_place_split(spark, sf_dir):
+    return _habitual_place(spark, sf_dir, crowded_rows=0, chunk_rows=500)
+
+
 @query
 def feature_table(spark, sf_dir):
     featured = features.add_features(_txn(spark, sf_dir))
