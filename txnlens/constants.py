@@ -113,22 +113,10 @@ ENTITY_POOLS = {
         "Travel": ["AirLink", "RoadTrips"],
         "Healthcare": ["MediCare Pharmacy", "Dr. Visit Co-pay"],
     },
-    ONLINE: {
-        "E-commerce Giant": ["Amazon", "Walmart.com", "Target.com", "eBay"],
-        "Specialty Store": ["GadgetBay", "FashionNovaOnline", "BookWorld.com"],
-        "Subscription Service": ["Netflix", "Spotify", "Hulu", "Adobe Creative Cloud"],
-    },
     WALLET: {
         "Person-to-Person": [f"1{n:09d}" for n in range(100, 200)],
         "Small Business": ["Local Coffee Shop", "Freelance Designer", "Yoga Studio"],
     },
-    ACH: {
-        "Utility Bill": ["PowerCo", "WaterWorks", "City Gas"],
-        "Rent Payment": ["Landlord Management LLC"],
-        "Loan Payment": ["StudentLoanProvider", "AutoFinanceCo"],
-        "Friend/Family Transfer": [f"7{n:07d}" for n in range(50, 70)],
-        "Investment": ["InvestGrow Securities"],
-    },
 }
 
 # Types a burst child can have.

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from txnlens.schema import canonical
 
-# Files that a day is written to.
-DAY_FILES = 8
+# Rows of a day that one task writes to a file.
+FILE_ROWS = 2_000_000
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -49,9 +49,14 @@ def write_csv(df: DataFrame, path: str, by_day: bool = False, mode: str = "error
         }
     )
     if by_day:
-        # one task per day and slice, so a day is a few files however many tasks there are
-        text = text.withColumn("day", F.substring("timestamp", 1, 10)).withColumn("_slice", F.floor(F.rand(0) * DAY_FILES))
-        text = text.repartition("day", "_slice").drop("_slice")
+        # one task per day and slice, so a day is a few files however many tasks there are; slices are
+        # found by the rows themselves, so a task that is run again deals them out alike
+        text = text.withColumn("day", F.substring("timestamp", 1, 10))
+        sizes = text.groupBy(F.col("day").alias("_day")).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_slices"))
+        columns = [F.col(f"`{c}`") for c in text.columns]
+        # broadcast: no more rows than the calendar has days
+        text = text.join(F.broadcast(sizes), F.col("day").eqNullSafe(F.col("_day")))
+        text = text.repartition("day", F.pmod(F.xxhash64(*columns), F.col("_slices"))).drop("_day", "_slices")
     writer = text.write.mode(mode).option("header", True).option("escape", '"')
     if by_day:
         writer = writer.partitionBy("day")
