@@ -28,6 +28,9 @@ def test_every_sql_has_a_query():
         "validation_view",
         "feature_importance",
         "model_roundtrip",
+        "model_nodes",
+        "row_attribution",
+        "attribution_summary",
     }
 
 
