@@ -8,7 +8,8 @@ Defined results: null texts and null roles count as empty; turns are taken by (t
 ties and repeated rows have one order; a conversation that breaks the turn order, holds an unknown
 role or doesn't end in an accepting state is formatted all the same and marked ``valid = false``;
 rows without ``conv_id`` form one conversation; an empty table gives an empty result; further columns
-are not read. A conversation is one record of the output, so it has to fit into memory.
+are not read. A conversation is one record of the output, so it has to fit into memory; the work is
+proportional to its length.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, ERROR = "start", "error"
@@ -81,20 +82,25 @@ def format_chats(conversations: DataFrame, template: Template) -> DataFrame:
     ``segments`` joined give ``formatted``; spans cover the segments with loss.
     """
     empty = F.lit("")
-    turns = conversations.groupBy("conv_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "turn",
-                    F.coalesce("role", empty).alias("role"),
-                    F.coalesce("text", empty).alias("text"),
-                )
-            )
-        ).alias("turns")
+    head = lambda role: F.concat(F.lit(template.turn), template.escaped(role), F.lit(template.text))
+    tail = template.end + "\n"
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")
+    )
+    rows = rows.withColumn("body", template.escaped(F.col("text")))
+    # where a turn begins is a running sum over the turns before it; the grouping reuses the window's shuffle
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.length(head(F.col("role"))) + F.length("body") + len(tail)
+    start = F.coalesce(F.sum(length).over(before), F.lit(0)).cast("int")
+    turns = (
+        rows.select("conv_id", start.alias("start"), "role", "body")
+        .groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "role", "body"))).alias("turns"))
     )
     final = F.aggregate(
         "turns", F.lit(START), lambda s, t: template.state_after(s, t["role"])
     )
+    loss = lambda t: t["role"].isin(*template.loss_roles)
 
     def segment(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
@@ -103,39 +109,21 @@ def format_chats(conversations: DataFrame, template: Template) -> DataFrame:
     segments = F.flatten(
         F.transform(
             "turns",
-            lambda t: F.array(
-                segment(
-                    F.concat(F.lit(template.turn), template.escaped(t["role"]), F.lit(template.text)),
-                    no,
-                ),
-                segment(template.escaped(t["text"]), t["role"].isin(*template.loss_roles)),
-                segment(F.lit(template.end + "\n"), no),
-            ),
+            lambda t: F.array(segment(head(t["role"]), no), segment(t["body"], loss(t)), segment(F.lit(tail), no)),
         )
     )
-    span = "struct<start:int,length:int>"
-    spans = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["text"])).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(
-                    s["spans"],
-                    F.array(F.struct(s["at"].alias("start"), F.length(x["text"]).alias("length"))),
-                ),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
+    spans = F.transform(
+        F.filter("turns", loss),
+        lambda t: F.struct(
+            (t["start"] + F.length(head(t["role"]))).alias("start"), F.length(t["body"]).alias("length")
         ),
-        lambda s: s["spans"],
-    )
-    return (
-        turns.select("conv_id", final.isin(*template.accepting).alias("valid"), segments.alias("segments"))
-        .withColumn("formatted", F.array_join(F.transform("segments", lambda x: x["text"]), ""))
-        .withColumn("loss_spans", spans)
     )
+    return turns.select(
+        "conv_id",
+        final.isin(*template.accepting).alias("valid"),
+        segments.alias("segments"),
+        spans.alias("loss_spans"),
+    ).withColumn("formatted", F.array_join(F.transform("segments", lambda x: x["text"]), ""))
 
 
 def read_turns(formatted: Column, template: Template) -> Column:
@@ -160,12 +148,5 @@ def read_turns(formatted: Column, template: Template) -> Column:
 
 def loss_text(template: Template) -> Column:
     """All text under the loss mask of a formatted row, unescaped."""
-    return F.array_join(
-        F.transform(
-            "loss_spans",
-            lambda s: template.unescaped(
-                F.substring(F.col("formatted"), s["start"] + 1, s["length"])
-            ),
-        ),
-        "",
-    )
+    masked = F.filter("segments", lambda x: x["loss"])
+    return F.array_join(F.transform(masked, lambda x: template.unescaped(x["text"])), "")
