@@ -37,6 +37,24 @@ def test_exact_dedup_edges(spark, documents, by_doc):
     assert not by_doc(exact_dedup.dedup(documents([(12, "new")]), reopened))[12][0]["kept"]
 
 
+def test_exact_dedup_keeps_the_number_of_buckets(spark):
+    index = exact_dedup.DigestIndex(spark, 4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, 8, index.path)
+
+
+def test_exact_dedup_deals_out_repeated_rows(documents, spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MANY", 7)
+    rows = [(None, "")] * 50 + [(1, "a")] * 7 + [(2, "a")] * 8 + [(3, "b")]
+    got = exact_dedup.dedup(documents(rows), exact_dedup.DigestIndex(spark, 4)).collect()
+    seen = sorted((str(r["doc_id"]), r["text_sha256"], r["group_size"]) for r in got)
+    sizes = {"": 50, "a": 15, "b": 1}
+    assert seen == sorted((str(i), sha(t), sizes[t]) for i, t in rows)
+    assert sorted(str(r["doc_id"]) for r in got if r["kept"]) == ["2", "3", "None"]
+    pieces = exact_dedup.dealt(exact_dedup.members_of(documents(rows))).select("copies", F.spark_partition_id().alias("p")).collect()
+    assert max(r["copies"] for r in pieces) == 7 and len({r["p"] for r in pieces}) > 3
+
+
 def test_exact_dedup_plan_reads_index_without_shuffle(spark, documents):
     index = exact_dedup.DigestIndex(spark, 4)
     members = exact_dedup.members_of(documents([(i, str(i)) for i in range(50)]))
@@ -101,6 +119,32 @@ def test_chat_edges(spark):
     assert back(spark, []) == {}
 
 
+def test_work_on_chats_grows_with_the_turns(spark):
+    def seconds(n):
+        rows = spark.range(n).selectExpr(
+            "1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text <s> ', id) AS text"
+        )
+        template = chat.Template()
+        chats = chat.format_chats(rows, template)
+        began = time.monotonic()
+        got = chats.select(
+            "valid",
+            F.size(chat.read_turns(F.col("formatted"), template)).alias("n"),
+            chat.loss_text(template).alias("loss"),
+            F.element_at("loss_spans", -1).alias("last"),
+            F.element_at(F.filter("segments", lambda x: x["loss"]), -1).alias("segment"),
+            "formatted",
+        ).first()
+        assert got["valid"] and got["n"] == n
+        assert got["loss"] == "".join(f"text <s> {i}" for i in range(1, n, 2))
+        at = got["last"]["start"]
+        assert got["formatted"][at : at + got["last"]["length"]] == got["segment"]["text"]
+        return time.monotonic() - began
+
+    seconds(1_000)
+    assert seconds(40_000) < 2.3 * seconds(20_000) + 1
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

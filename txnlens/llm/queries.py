@@ -45,8 +45,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, buckets=default_parts(spark))
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), index)
+    docs = table(spark, sf_dir, "documents")
+    buckets = max(default_parts(spark), -(-docs.count() // exact_dedup.BUCKET_ROWS))
+    return exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, buckets))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
