@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from txnlens.llm import bpe, token_planes
@@ -74,5 +75,23 @@ def test_files_keep_order_and_ids(documents, planes):
         start += n
 
 
+def test_parts_are_even_whatever_repeats(spark, monkeypatch):
+    rows = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, NULL, if(id % 3 = 1, 7, id)) AS doc_id", "if(id % 6 = 0, '', if(id % 6 = 1, 'again', concat('t', id))) AS text"
+    )
+    sizes = [r["count"] for r in token_planes.ordered(rows, 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) == 8 and max(sizes) < 2 * 30_000 / 8
+    monkeypatch.setattr(token_planes, "PART_BYTES", 4_000)
+    assert token_planes.ordered(rows, 1).rdd.getNumPartitions() > 20
+
+
+def test_files_with_repeated_rows(documents):
+    rows = [(None, "")] * 40 + [(None, "x y")] * 40 + [(5, "x y")] * 40 + [(6, None), (4, "z")]
+    files = token_planes.write_files(documents(rows), BYTE_BPE, 6, 0)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_planes.read_files(files).collect())
+    assert [d for _, d, _ in got] == [None] * 80 + [4] + [5] * 40 + [6]
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:i]) for i in range(len(got))]
+
+
 def test_no_documents(documents):
     assert token_planes.read_files(token_planes.write_files(documents([]), BYTE_BPE, 2, 0)).collect() == []

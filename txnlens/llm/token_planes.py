@@ -8,8 +8,10 @@ every compressed plane, so a reader can fetch one document's blocks without the
 the rows, so a lost executor's files never count.
 
 Defined results: a null text counts as empty and gives the end id alone; documents are in the order
-of (doc_id, text) with null ids first, repeated rows are kept; an empty table gives no files and an
-empty result; further columns are not read. One document's ids must fit into memory.
+of doc_id with null ids first, those of one doc_id in the order of their texts' hashes, and repeated rows
+are kept; an empty table gives no files and an empty result; further columns are not read. Rows are told
+apart by their place in the table, so however many share an id and a text they go to several parts; a
+table that isn't read from files should be written first. One document's ids must fit into memory.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from txnlens.llm.tables import held, row_blocks, stage
 from txnlens.llm.vocab import WordIds, byte_symbols, is_exotic
 
 BLOCK_IDS = 65_536
+PART_BYTES = 128 << 20  # of text in one part, about
 PLANES = {"byte": 4, "bit": 32}
 LEVEL = 3
 FILE_SCHEMA = (
@@ -102,7 +105,10 @@ def from_planes(payload: bytes, sizes: list[int], n_ids: int, planes: str) -> np
 
 
 def write_files(docs: DataFrame, path: str, parts: int, end_id: int, planes: str = "byte") -> DataFrame:
-    """Encode, append ``end_id`` to each document, write; returns the files' rows."""
+    """Encode, append ``end_id`` to each document, write; returns the files' rows.
+
+    There are ``parts`` parts, or more if these would hold more than ``PART_BYTES`` each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part = encoder(path), TaskContext.get().partitionId()
@@ -126,13 +132,21 @@ def write_files(docs: DataFrame, path: str, parts: int, end_id: int, planes: str
             )
             start += len(ids)
 
+    return stage(ordered(docs, parts).mapInArrow(run, FILE_SCHEMA), "token_planes")
+
+
+def ordered(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text) in order, in ranges of about equal numbers of rows whatever ids and texts repeat."""
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    ordered = (
+    keys = ["doc_id", "hash", "place"]  # samples of these go to the driver, no texts
+    return (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
-        .repartitionByRange(parts, "doc_id")  # samples of the key go to the driver: ids, not texts
-        .sortWithinPartitions("doc_id", "text")
+        .select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(max(parts, -(-volume // PART_BYTES)), *keys)
+        .sortWithinPartitions(*keys)
+        .select("doc_id", "text")
     )
-    return stage(ordered.mapInArrow(run, FILE_SCHEMA), "token_planes")
 
 
 def read_files(files: DataFrame, planes: str = "byte") -> DataFrame:
