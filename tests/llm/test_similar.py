@@ -1,6 +1,7 @@
 """Line dedup, SimHash near-dedup and connected components, against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,30 @@ def test_rows_that_share_an_id_keep_their_own_lines(documents):
     assert counts == [(2, 1), (2, 1)]
 
 
+def test_many_lines_with_a_segment_in_common(documents):
+    """More lines than a tile holds share their beginning; every twentieth has a line within two edits."""
+    n = line_dedup.TILE + 500
+    lines = ["https://host.example/the/same/path/of/all?id=" + xxhash.xxh3_128_hexdigest(str(i)) for i in range(n)]
+    near = [edited(random.Random(i), lines[i], 2, "0123456789") for i in range(0, n, 20)]
+    rows = [(k, "\n".join(lines[k::50])) for k in range(50)] + [(1000, "\n".join(near)), (1001, lines[7])]
+    got = got_lines(line_dedup.drop_lines(documents(rows)))
+    assert [got[k][2] for k in range(50)] == [0] * 50
+    assert got[1000] == ("", len(near), len(near), len([i for i, x in enumerate(near) if x != lines[20 * i]]))
+    assert got[1001][0] == ""
+
+
+def test_work_on_lines_grows_with_the_text(documents):
+    def seconds(n):
+        text = "\n".join(f"{i:x}" for i in range(n)) + "\n1"
+        began = time.monotonic()
+        got = got_lines(line_dedup.drop_lines(documents([(1, text), (2, "1\n2\nzzz")])))
+        assert got[1] == (text[:-2], n + 1, 1, 0) and got[2] == ("zzz", 3, 2, 0)
+        return time.monotonic() - began
+
+    seconds(1_000)
+    assert seconds(100_000) < 2.3 * seconds(50_000) + 2
+
+
 def test_crowded_keys_are_cut_into_tiles(monkeypatch):
     rng = random.Random(4)
     lines = list({"a shared beginning of the line " + "".join(rng.choices("ab", k=12)) for _ in range(300)})
@@ -160,10 +185,16 @@ def test_crowded_keys_are_cut_into_tiles(monkeypatch):
     def found(tile):
         monkeypatch.setattr(line_dedup, "TILE", tile)
         out, kinds = set(), set()
-        for row in line_dedup.matches(table, 2).to_pylist():
-            kinds.add(row["kind"])
+        rows = line_dedup.matches(table, 2).to_pylist()
+        asks, owns = ([r for r in rows if r["key"] is not None and r[c] is not None] for c in ("a", "b"))
+        pairs = [r for r in rows if r["key"] is None]
+        pairs += [{**a, "b": b["b"]} for a in asks for b in owns if a["key"] == b["key"]]
+        # what a crowded key leaves grows with its lines, not with their square
+        assert sum(len(r[c]) for r, c in [*((r, "a") for r in asks), *((r, "b") for r in owns)]) <= 8 * (2 * len(own) // 8 + len(asking) // 8)
+        for row in pairs:
+            kinds.add(int(row["key"] is not None))
             a, b = (np.frombuffer(row[c], np.uint64) for c in ("a", "b"))
-            if row["kind"]:
+            if row["key"] is not None:
                 x, y = np.nonzero(line_dedup.close(a[:, None], b[None, :], 2))
                 a, b = a[x], b[y]
             out |= {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}

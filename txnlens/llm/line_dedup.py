@@ -212,7 +212,12 @@ def close(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
 
 
 def matches(bucket: pa.Table, edits: int) -> pa.Table:
-    """Candidate pairs of one bucket (kind 0), and tiles of keys that many lines share (kind 1)."""
+    """Candidate pairs of one bucket, and the lines of keys that many lines share.
+
+    Pairs have both ``a`` and ``b``, and no ``key``. Lines of such a key come in pieces of ``TILE``, those that
+    probe as ``a`` and those of the index as ``b``; every piece of the one meets every piece of the other
+    in a join on the key.
+    """
 
     def column(keys: str, ids: str) -> tuple[np.ndarray, np.ndarray]:
         parts = [expand_sorted(x) for x in bucket.column(keys).to_pylist()]
@@ -227,7 +232,7 @@ def matches(bucket: pa.Table, edits: int) -> pa.Table:
     asking = np.concatenate([probe_ids, ids])
     low = np.concatenate([first, np.arange(1, len(keys) + 1)])
     size = np.concatenate([last - first, ahead - np.arange(1, len(keys) + 1)])
-    kinds, left, right = [], [], []
+    hot, left, right = [], [], []
 
     if len(keys):
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -238,11 +243,11 @@ def matches(bucket: pa.Table, edits: int) -> pa.Table:
             own = ids[starts[k] : ends[k]]
             begin = np.searchsorted(probes, keys[starts[k]], "left")
             ask = np.concatenate([probe_ids[begin : begin + asked[k]], own])
-            for i in range(0, len(own), TILE):
-                for j in range(0, len(ask), TILE):
-                    kinds.append(1)
-                    left.append(ask[j : j + TILE].tobytes())
-                    right.append(own[i : i + TILE].tobytes())
+            asks = [ask[i : i + TILE].tobytes() for i in range(0, len(ask), TILE)]
+            owns = [own[i : i + TILE].tobytes() for i in range(0, len(own), TILE)]
+            hot += [int(keys[starts[k]].view(np.int64))] * (len(asks) + len(owns))
+            left += asks + [None] * len(owns)
+            right += [None] * len(asks) + owns
             size[np.isin(np.concatenate([probes, keys]), keys[starts[k]])] = 0
 
     some = np.flatnonzero(size)
@@ -253,11 +258,11 @@ def matches(bucket: pa.Table, edits: int) -> pa.Table:
         other = ids[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         ok = close(one, other, edits)
         if ok.any():
-            kinds.append(0)
+            hot.append(None)
             left.append(one[ok].tobytes())
             right.append(other[ok].tobytes())
     return pa.table(
-        {"kind": pa.array(kinds, pa.int32()), "a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())}
+        {"key": pa.array(hot, pa.int64()), "a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())}
     )
 
 
@@ -277,7 +282,7 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
     found = (
         bucketed_keys(docs, buckets, edits, least)
         .groupBy("bucket")
-        .applyInArrow(lambda t: matches(t, edits), "kind int, a binary, b binary")
+        .applyInArrow(lambda t: matches(t, edits), "key bigint, a binary, b binary")
     )
     found = stage(found, "line_matches")
 
@@ -285,7 +290,7 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = (np.frombuffer(row[c], np.uint64) for c in ("a", "b"))
-                if row["kind"]:
+                if row["key"] is not None:
                     for i in range(0, len(a), 256):
                         some = a[i : i + 256]
                         x, y = np.nonzero(close(some[:, None], b[None, :], edits))
@@ -297,8 +302,9 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    tiles = found.where("kind = 1").repartition(default_parts(docs.sparkSession))
-    both = found.where("kind = 0").unionByName(tiles)
+    asks, owns = found.where("b IS NULL").drop("b"), found.where("a IS NULL").drop("a")
+    tiles = asks.join(owns.hint("merge"), "key").repartition(default_parts(docs.sparkSession))
+    both = found.where("key IS NULL").unionByName(tiles)
     return stage(both.mapInArrow(run, "a bigint, b bigint").distinct(), "line_candidates")
 
 
@@ -441,9 +447,10 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> D
     # by shuffle at every size: what goes grows with the documents
     same = full["id_of"].eqNullSafe(F.col("doc_id")) & (full["uid_of"] == F.col("uid"))
     joined = full.join(facts.hint("merge"), same, "left")
-    lines = F.split("full", "\n", -1)
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_join(F.transform(F.array_except(every, "drop"), lambda i: F.get(lines, i)), "\n")
+    # a column, so that a text is split once and not again for each line
+    joined = joined.withColumn("lines", F.when(F.size("drop") > 0, F.split("full", "\n", -1)))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.array_join(F.transform(F.array_except(every, "drop"), lambda i: F.get("lines", i)), "\n")
     text = F.when(F.size("drop") > 0, kept).otherwise(F.col("full"))
     return joined.select(
         "row",
