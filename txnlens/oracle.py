@@ -600,6 +600,25 @@ def oracle_sql() -> dict[str, str]:
             ACCIDENTS,
             select=f"SELECT transaction_id, {', '.join(FLAGS)}, {_LABEL} AS {LABEL} FROM acc",
         ),
+        "shift_audit": chain(
+            TXN,
+            """
+rolled AS (
+  SELECT *, avg(amount) OVER last30 AS mean, stddev_samp(amount) OVER last30 AS std,
+         row_number() OVER (PARTITION BY customer_id, recipient_entity ORDER BY timestamp, transaction_id) AS n
+  FROM txn
+  WINDOW last30 AS (PARTITION BY customer_id, recipient_entity ORDER BY timestamp, transaction_id
+                    ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+shifted AS (
+  SELECT customer_id, recipient_entity, transaction_id, n,
+         lag(customer_id) OVER whole AS from_customer, lag(recipient_entity) OVER whole AS from_recipient,
+         lag(mean) OVER whole AS shifted_mean, lag(std) OVER whole AS shifted_std
+  FROM rolled
+  WINDOW whole AS (ORDER BY customer_id, recipient_entity, timestamp, transaction_id))""",
+            select="""SELECT customer_id, recipient_entity, transaction_id, from_customer, from_recipient,
+              round(shifted_mean, 6) AS shifted_mean, round(shifted_std, 6) AS shifted_std
+            FROM shifted WHERE n = 1 AND shifted_mean IS NOT NULL""",
+        ),
         "feature_table": _feature_table(TXN, 6),
         "feature_table_orders": _feature_table(ORDERS, 4),
         "feature_table_split": _feature_table(TXN, 8),

@@ -14,7 +14,7 @@ from txnlens.constants import BANK_CITIES, CITY_POPULATION, FEATURES, FLAGS, LAB
 from txnlens.functions.calendar import calendar_columns, intensity, iso_text, step_to_timestamp
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
-from txnlens.operators import evaluate, features, inject, joins, labels, model, profile, sampling, trees
+from txnlens.operators import audit, evaluate, features, inject, joins, labels, model, profile, sampling, trees
 from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
@@ -369,6 +369,11 @@ def habitual_place_split(spark, sf_dir):
     return _habitual_place(spark, sf_dir, crowded_rows=0, chunk_rows=500)
 
 
+@query
+def shift_audit(spark, sf_dir):
+    return rounded(audit.shift_audit(_txn(spark, sf_dir)))
+
+
 @query
 def feature_table(spark, sf_dir):
     featured = features.add_features(_txn(spark, sf_dir))
