@@ -600,6 +600,11 @@ def oracle_sql() -> dict[str, str]:
             ACCIDENTS,
             select=f"SELECT transaction_id, {', '.join(FLAGS)}, {_LABEL} AS {LABEL} FROM acc",
         ),
+        "labelled_payments": chain(
+            ACCIDENTS,
+            select=f"""SELECT transaction_id, epoch_us(timestamp) AS us, amount, recipient_entity,
+              original_recipient_entity, {', '.join(FLAGS)}, {_LABEL} AS {LABEL} FROM acc""",
+        ),
         "shift_audit": chain(
             TXN,
             """

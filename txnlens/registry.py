@@ -18,11 +18,12 @@ from txnlens.operators import audit, evaluate, features, inject, joins, labels,
 from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
-from txnlens.plans import train
+from txnlens.plans import label, train
 from txnlens.plans.rules import rule_scores
 from txnlens.plans.train import split_rows
 from txnlens.schema import ensure_columns, normalize
 from txnlens.sources import csv, tables
+from txnlens.sources.publish import publish, read_published
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -446,6 +447,22 @@ def inject_typo(spark, sf_dir):
     )
 
 
+@query
+def labelled_payments(spark, sf_dir):
+    """What the labelling job publishes, read back by its manifest."""
+    path = f"{shared_folder(spark).rstrip('/')}/labelled-{uuid.uuid4().hex}"
+    publish(label.by_accidents(_txn(spark, sf_dir))["payments"], path, by_day=True)
+    return read_published(spark, path).select(
+        "transaction_id",
+        F.unix_micros("timestamp").alias("us"),
+        "amount",
+        "recipient_entity",
+        "original_recipient_entity",
+        *FLAGS,
+        LABEL,
+    )
+
+
 @query
 def inject_location(spark, sf_dir):
     df = inject.inject_locations(tables.bank_events(spark, sf_dir), BANK_CITIES)

@@ -11,17 +11,20 @@ from txnlens.schema import canonical
 FILE_ROWS = 2_000_000
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Read CSV files with a header, every column as text.
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Read CSV files with a header, every column as text; a folder, a file or a list of files.
 
     Types are not inferred: that would take a second pass, and an all-digit recipient column
     would lose its leading zeros. Files whose header differs from the first one's stop the job
     instead of being read with columns mixed up.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not path.lower().endswith(".csv") and files.isFile(hadoop):
-        raise ValueError(f"not a CSV file: {path}")
+    for name in [path] if isinstance(path, str) else path:
+        if name.lower().endswith(".csv"):
+            continue
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.isFile(hadoop):
+            raise ValueError(f"not a CSV file: {name}")
     return (
         spark.read.option("header", True)
         .option("enforceSchema", False)
