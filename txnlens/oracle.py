@@ -130,6 +130,23 @@ ONE_CUSTOMER = (
 txn AS (SELECT * REPLACE ('default_customer' AS customer_id) FROM named)"""
 )
 
+FOREIGN = f"""
+WITH places AS (
+  SELECT s_suppkey, s_nationkey AS nation, TIMESTAMP '1900-01-01' AS valid_from FROM supplier
+  UNION ALL
+  SELECT s_suppkey, (s_nationkey + 1 + {whole("move-to", 0, 23, "s_suppkey")}) % 25,
+         TIMESTAMP '1995-01-01' + to_days({whole("move-day", 0, 1000, "s_suppkey")})
+  FROM supplier WHERE {draw("moves", "s_suppkey")} < 0.3),
+placed AS (SELECT s_suppkey, n_name, valid_from FROM places JOIN nation ON nation = n_nationkey),
+paid AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS transaction_id, l_suppkey,
+         o_orderdate::TIMESTAMP AS paid_at, n_name AS customer_country
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+SELECT transaction_id, customer_country, n_name AS recipient_country,
+       CAST(coalesce(customer_country <> n_name, false) AS INT) AS is_foreign_recipient
+FROM paid ASOF LEFT JOIN placed ON l_suppkey = s_suppkey AND paid_at >= valid_from"""
+
 ORDERS = f"""
 txn AS (
   SELECT 'customer_' || {padded("o_custkey", 3)} AS customer_id,
@@ -605,6 +622,8 @@ def oracle_sql() -> dict[str, str]:
             select=f"""SELECT transaction_id, epoch_us(timestamp) AS us, amount, recipient_entity,
               original_recipient_entity, {', '.join(FLAGS)}, {_LABEL} AS {LABEL} FROM acc""",
         ),
+        "foreign_recipient": FOREIGN,
+        "foreign_recipient_split": FOREIGN,
         "shift_audit": chain(
             TXN,
             """

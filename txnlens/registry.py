@@ -14,7 +14,7 @@ from txnlens.constants import BANK_CITIES, CITY_POPULATION, FEATURES, FLAGS, LAB
 from txnlens.functions.calendar import calendar_columns, intensity, iso_text, step_to_timestamp
 from txnlens.functions.draws import draw, phone_number, pick, weighted_pick
 from txnlens.functions.text import normalize_phone, risk_band
-from txnlens.operators import audit, evaluate, features, inject, joins, labels, model, profile, sampling, trees
+from txnlens.operators import audit, evaluate, features, foreign, inject, joins, labels, model, profile, sampling, trees
 from txnlens.operators.prefix import before
 from txnlens.operators.skew import by_customer, shared_folder, stage
 from txnlens.operators.spans import span_columns
@@ -370,6 +370,25 @@ def habitual_place_split(spark, sf_dir):
     return _habitual_place(spark, sf_dir, crowded_rows=0, chunk_rows=500)
 
 
+def _foreign(spark, sf_dir, **sizes):
+    txn = tables.supplier_payments(spark, sf_dir)
+    homes, places = tables.customer_countries(spark, sf_dir), tables.supplier_countries(spark, sf_dir)
+    return foreign.foreign_recipient(txn, homes, places, **sizes).select(
+        "transaction_id", "customer_country", "recipient_country", "is_foreign_recipient"
+    )
+
+
+@query
+def foreign_recipient(spark, sf_dir):
+    return _foreign(spark, sf_dir)
+
+
+@query
+def foreign_recipient_split(spark, sf_dir):
+    """The same with the payments of every larger recipient dealt to several tasks."""
+    return _foreign(spark, sf_dir, join_rows=100)
+
+
 @query
 def shift_audit(spark, sf_dir):
     return rounded(audit.shift_audit(_txn(spark, sf_dir)))

@@ -168,3 +168,42 @@ def home_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(user)
         .withColumn("home_city", home_city())
     )
+
+
+def supplier_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as payments of the order's customer to the line's supplier, at the order's date."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
+        F.concat(F.lit("customer_"), zero_pad("o_custkey", 3)).alias("customer_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("transaction_id"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.col("l_extendedprice").alias("amount"),
+        F.concat(F.lit("supplier_"), zero_pad("l_suppkey", 3)).alias("recipient_entity"),
+    )
+
+
+def customer_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]).select(
+        F.concat(F.lit("customer_"), zero_pad("c_custkey", 3)).alias("customer_id"),
+        F.col("n_name").alias("customer_country"),
+    )
+
+
+def supplier_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's country, and a later one for three in ten, which move on a drawn day."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    first = suppliers.withColumn("valid_from", F.lit("1900-01-01").cast("timestamp"))
+    day = F.date_add(F.lit("1995-01-01").cast("date"), whole("move-day", 0, 1000, "key"))
+    later = suppliers.where(draw("moves", "key") < 0.3).select(
+        "key",
+        F.pmod(F.col("nation") + 1 + whole("move-to", 0, 23, "key"), F.lit(25)).alias("nation"),
+        day.cast("timestamp").alias("valid_from"),
+    )
+    places, nations = first.unionByName(later), table(spark, sf_dir, "nation")
+    return places.join(nations, places["nation"] == nations["n_nationkey"]).select(
+        F.concat(F.lit("supplier_"), zero_pad("key", 3)).alias("recipient_entity"),
+        F.col("n_name").alias("country"),
+        "valid_from",
+    )
