@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,8 +65,6 @@ def test_weeks_start_on_monday(payments):
 
 @pytest.mark.parametrize("rows", [1, 2, 5, 1000])
 def test_quartiles_are_exact(spark, rows):
-    import numpy as np
-
     rng = random.Random(rows)
     values = [rng.choice([1.0, 2.0, rng.random() * 100]) for _ in range(rows)]
     df = spark.createDataFrame([(v,) for v in values], "amount double").repartition(3)
@@ -81,10 +80,35 @@ def test_order_statistic_by_narrowing(spark, hot):
     df = spark.createDataFrame([(v,) for v in values], "amount double").repartition(4)
     ordered = sorted(values)
     for rank in (0, 749, 1500, 2999):
-        found = profile.order_statistic(df, "amount", 3000, rank, few=20, accuracy=100).first()[0]
+        found = profile.order_statistic(df, "amount", 3000, rank, accuracy=100).first()[0]
         assert found == ordered[rank]
 
 
+
+def test_summary_reads_the_table_three_times(spark):
+    """At any size and accuracy; a bracket that misses its rank takes in everything."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(6)
+    for amounts in ([rng.gauss(0, 9) for _ in range(5000)], [float(rng.randint(0, 3)) for _ in range(4001)], [7.0], [1.0, 2.0], [1.0] * 999 + [None]):
+        table = spark.createDataFrame([(a,) for a in amounts], "amount double").repartition(5)
+        for accuracy in (50, 10_000):
+            before = read.value
+            got = profile.number_summary(table.mapInArrow(count, "amount double"), accuracy=accuracy).first()
+            assert read.value - before == 3 * len(amounts)
+            filled = sorted(a for a in amounts if a is not None)
+            want = np.quantile(filled, [0.25, 0.5, 0.75])
+            assert [got["p25"], got["p50"], got["p75"]] == pytest.approx(list(want))
+            assert (got["count"], got["min"], got["max"]) == (len(filled), filled[0], filled[-1])
+        values = profile.order_statistics(table, "amount", [(1e9, 2e9), None], [[0], [len(filled) - 1]])
+        assert {(r.bracket, r.value) for r in values.collect()} == {(0, filled[0]), (1, filled[-1])}
+
+
 def test_summary_of_nothing(spark):
     row = profile.number_summary(spark.createDataFrame([], "amount double")).first()
     assert row["count"] == 0 and row["p50"] is None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.constants import CATEGORICAL_COLUMNS, FLAGS, LABEL
+from txnlens.operators.skew import stage
 
 
 def _rows(name: str) -> Column:
@@ -142,67 +143,106 @@ def amount_gap_bins(
     ).agg(_rows("n"))
 
 
-def _narrow(df: DataFrame, column: str, total: int, rank: int, few: int, accuracy: int):
-    """Bracket the value with the given rank: (low, high, rows below low).
+Bracket = tuple[float, float] | None
 
-    A sketch of the rows in the bracket returns values whose rank is off by less than
-    rows/accuracy, so asking for a rank a little lower and a little higher encloses the true one.
-    Every round leaves a few thousandths of the rows, or a single value.
+
+def _bracket_edges(place: float, accuracy: int) -> list[float]:
+    """Two fractions a little below and above one: what a sketch returns for them encloses its value.
+
+    The sketch is off by less than 1/accuracy, and quartiles need the two ranks next to the fraction.
+    """
+    return [max(place - 4 / accuracy, 0.0), min(place + 4 / accuracy, 1.0)]
+
+
+def order_statistics(df: DataFrame, column: str, brackets: list[Bracket], ranks: list[list[int]]) -> DataFrame:
+    """(bracket, rank, value): the exact values with 0-based ranks, given brackets that should hold them.
+
+    Reads the table twice. The first time it counts, and a bracket that doesn't hold its ranks, or None, takes
+    in everything. The second time it groups the values inside. Those are dealt in ranges, and only the ranges with
+    the ranks are sorted.
     """
     value = F.col(column)
-    low = high = None
-    below, inside = 0, total
-    while inside > few and (low is None or low < high):
-        rows = df if low is None else df.where(value.between(low, high))
-        at = (rank - below) / inside
-        edges = [max(at - 2 / accuracy, 0.0), min(at + 2 / accuracy, 1.0)]
-        found = rows.agg(F.percentile_approx(column, edges, accuracy)).first()[0]
-        if [low, high] == found:
-            break
-        low, high = found
-        below, inside = df.agg(F.count_if(value < low), F.count_if(value.between(low, high))).first()
-    return low, high, below
-
-
-def order_statistic(
-    df: DataFrame, column: str, total: int, rank: int, few: int = 100_000, accuracy: int = 10_000
-) -> DataFrame:
-    """The exact value with a 0-based rank, without sorting the table: one row, ``value``."""
-    low, high, below = _narrow(df, column, total, rank, few, accuracy)
-    near = df.where(F.col(column).isNotNull())
-    if low is not None:
-        near = near.where(F.col(column).between(low, high))
-    ties = near.groupBy(F.col(column).alias("value")).agg(_rows("_n"))
-    upto = F.sum("_n").over(
-        Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = [F.lit(True) if b is None else value.between(*b) for b in brackets]
+    below = [F.lit(False) if b is None else value < b[0] for b in brackets]
+    filled = df.where(value.isNotNull())
+    counts = filled.agg(*map(F.count_if, below), *map(F.count_if, inside)).first()
+    asked = []
+    for i, wanted in enumerate(ranks):
+        under, within = counts[i], counts[len(brackets) + i]
+        if not all(under <= rank < under + within for rank in wanted):
+            inside[i], under = F.lit(True), 0
+        asked += [(i, rank, rank - under) for rank in wanted]
+
+    of = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(inside)]))
+    ties = (
+        filled.select(value.alias("value"), F.explode(of).alias("bracket"))
+        .groupBy("bracket", "value")
+        .agg(_rows("_n"))
+        .repartitionByRange("bracket", "value")
+    )
+    near = stage(ties.withColumn("_part", F.spark_partition_id()), "near_ranks")
+    ahead = Window.partitionBy("bracket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = near.groupBy("bracket", "_part").agg(F.sum("_n").alias("_size"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(ahead), F.lit(0)))  # a row for each range
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("_of"), F.lit(rank).cast("bigint").alias("rank"), F.lit(place).cast("bigint").alias("_place"))
+            for i, rank, place in asked
+        ]
     )
+    hit = starts.select("*", F.inline(each)).where("_of = bracket AND _place >= _start AND _place < _start + _size")
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy("bracket", "rank").orderBy("value"))
     return (
-        ties.withColumn("_upto", upto).where(F.col("_upto") > rank - below).agg(F.min("value").alias("value"))
+        near.join(F.broadcast(hit.select("bracket", "_part", "_start", "rank", "_place")), ["bracket", "_part"])
+        .withColumn("_upto", upto)
+        .where(F.col("_upto") > F.col("_place"))
+        .groupBy("bracket", "rank")
+        .agg(F.min("value").alias("value"))
     )
 
 
-def number_summary(df: DataFrame, column: str = "amount") -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles (linear between neighbours), maximum."""
+def order_statistic(df: DataFrame, column: str, total: int, rank: int, accuracy: int = 10_000) -> DataFrame:
+    """The exact value with a 0-based rank, without sorting the table: one row, ``value``."""
+    edges = _bracket_edges(rank / total, accuracy)
+    bracket = df.agg(F.percentile_approx(column, edges, accuracy)).first()[0]
+    return order_statistics(df, column, [tuple(bracket)], [[rank]]).select("value")
+
+
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def number_summary(df: DataFrame, column: str = "amount", accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, deviation, minimum, exact quartiles (linear between neighbours), maximum.
+
+    Three reads at any size: one for everything else and a sketch that brackets all quartiles, and two
+    that find these (``order_statistics``).
+    """
+    edges = [e for q in QUARTILES.values() for e in _bracket_edges(q, accuracy)]
     basics = df.agg(
         F.count(column).cast("bigint").alias("count"),
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("std"),
         F.min(column).cast("double").alias("min"),
         F.max(column).cast("double").alias("max"),
+        F.percentile_approx(column, edges, accuracy).alias("_edges"),
     )
-    total = basics.first()["count"]
-    quartiles = {}
-    for name, q in [("p25", 0.25), ("p50", 0.5), ("p75", 0.75)]:
-        if not total:
-            quartiles[name] = F.lit(None).cast("double")
-            continue
-        place = q * (total - 1)
-        low = order_statistic(df, column, total, int(place)).scalar()
-        high = order_statistic(df, column, total, min(int(place) + 1, total - 1)).scalar()
-        quartiles[name] = low + (high - low) * (place - int(place))
-    return basics.select(
-        "count", "mean", "std", "min", *[q.alias(n) for n, q in quartiles.items()], "max"
-    )
+    known = stage(basics, "number_summary")
+    facts = known.first()
+    total, ends = facts["count"], facts["_edges"]
+    if not total:
+        nothing = [F.lit(None).cast("double").alias(name) for name in QUARTILES]
+        return known.select("count", "mean", "std", "min", *nothing, "max")
+    places = [q * (total - 1) for q in QUARTILES.values()]
+    ranks = [sorted({int(p), min(int(p) + 1, total - 1)}) for p in places]
+    pairs = [(ends[2 * i], ends[2 * i + 1]) for i in range(len(places))]
+    values = order_statistics(df, column, pairs, ranks)
+    quartiles = []
+    for i, (name, place) in enumerate(zip(QUARTILES, places)):
+        own = F.when(F.col("bracket") == i, F.col("value").cast("double"))
+        low, high = F.min(own), F.max(own)
+        quartiles.append((low + (high - low) * (place - int(place))).alias(name))
+    found = values.agg(F.struct(*quartiles)).scalar()
+    return known.select("count", "mean", "std", "min", *[found[name].alias(name) for name in QUARTILES], "max")
 
 
 def category_levels(df: DataFrame, column: str, most: int = 1000) -> list[str]:
