@@ -54,8 +54,10 @@ class DigestIndex:
 
     def append(self, members: DataFrame) -> None:
         """Add the texts of ``members`` (see ``members_of``) that the index doesn't have."""
-        groups = members.groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")
+        # written first: the planner would put the join below the grouping and shuffle every copy
+        groups = stage(
+            members.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")),
+            "digest_groups",
         )
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         fresh = stage(fresh, "fresh_digests")  # a table can't be read and appended to in one job
