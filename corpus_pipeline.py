@@ -59,10 +59,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_dedup(rows.select(F.col("uid").alias("doc_id"), "text"))
     ids = rows.select("uid", F.col("row.doc_id").alias("id_of"))
     members = groups.select(F.col("doc_id").alias("uid"), "component_id").join(ids, "uid")
-    members = stage(members.select("component_id", F.struct(F.isnull("id_of").alias("none"), "id_of", "uid").alias("place")), "members")
-    keepers = members.groupBy("component_id").agg(F.min("place").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = members.join(keepers.select("component_id", "keeper.uid"), "component_id").where("place.uid <> uid")
-    return without(rows, gone.select("place.uid"))
+    members = stage(members.select("uid", "component_id", F.struct(F.isnull("id_of").alias("none"), "id_of", "uid").alias("place")), "members")
+    # minima are taken before the shuffle, and the rest goes by row: no task holds a group of any size
+    stays = stage(members.groupBy("component_id").agg(F.min("place").alias("keeper")).select("keeper.uid"), "stays")
+    gone = members.select("uid").join(stays, "uid", "left_anti")
+    return without(rows, gone)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
