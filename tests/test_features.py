@@ -256,3 +256,14 @@ def test_chunks_are_bounded_and_in_time_order(payments):
     assert pdf.groupby("_chunk").size().max() <= 150
     assert pdf.groupby("customer_id")["_chunk"].apply(lambda c: c.is_monotonic_increasing).all()
     assert pdf[pdf.customer_id == "busy"]["_chunk"].nunique() > 2
+
+
+def test_partitions_follow_rows_not_chunks(payments):
+    """Each partition sends the driver a sample and a report, so small chunks mustn't be partitions of their own."""
+    from txnlens.functions.calendar import micros
+    from txnlens.operators.skew import chunked
+
+    rows = chunked(_random_payments(payments, 7).withColumn("_us", micros()), 400, 5)
+    assert len(rows.inputFiles()) <= 2
+    sizes = rows.groupBy("_chunk").count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) == 5

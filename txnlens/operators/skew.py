@@ -2,8 +2,8 @@
 
 Most customers are small and their rows go to one task each, by a plain window. A *crowded*
 customer, one with more rows than a task should hold, is cut into chunks of its history instead:
-the rows are range-partitioned by (customer, time, id), each range partition becomes a chunk, and
-operators work chunk by chunk and carry small summaries from one chunk to the next.
+the rows are range-partitioned and sorted by (customer, time, id), each partition is cut into
+chunks, and operators work chunk by chunk and carry small summaries from one chunk to the next.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ CHUNK_ROWS = 1_000_000
 # Chunks of one table; with more rows than that makes, chunks grow instead.
 MOST_CHUNKS = 20_000
 
+# Rows of one partition that is cut into chunks, at least. The driver is sent a sample of each
+# partition and a report of each task, so partitions follow the rows and not the size of a chunk.
+PART_ROWS = 100_000
+
 # Keys that may be broadcast. Longer lists are joined by shuffle.
 BROADCAST_KEYS = 10_000
 
@@ -90,11 +94,16 @@ def crowded_customers(df: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
 def chunked(df: DataFrame, rows: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Cut the history of every customer into chunks, numbered in time order.
 
-    The partition number is only stable once written, hence the staged table.
+    A chunk's number is the id of its first row: partition, and place in the sorted partition. It is
+    only stable once written, hence the staged table.
     """
-    parts = min(MOST_CHUNKS, max(2, -(-rows // chunk_rows)))
-    ranged = df.repartitionByRange(parts, "customer_id", *ORDER)
-    return stage(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    chunk_rows = max(chunk_rows, -(-rows // MOST_CHUNKS))
+    parts = max(2, -(-rows // max(chunk_rows, PART_ROWS)))
+    ranged = df.repartitionByRange(parts, "customer_id", *ORDER).sortWithinPartitions("customer_id", *ORDER)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
+    chunk = F.col("_id") - F.pmod(place, F.lit(chunk_rows))
+    return stage(numbered.withColumn(CHUNK, chunk).drop("_id"), "chunks")
 
 
 def by_customer(
