@@ -172,25 +172,39 @@ def attribution(nodes: DataFrame, rows: DataFrame, key: str = "transaction_id",
 
     ``rows`` has the scaled features. Arrow batches: a lookup per leaf and batch.
     """
-    paths = [leaf for tree in by_tree(nodes) for leaf in leaves(tree)]
-    base = sum(leaf.value * leaf.share.prod() for leaf in paths)
+    paths = [leaves(tree) for tree in by_tree(nodes)]
+    base = sum(leaf.value * leaf.share.prod() for tree in paths for leaf in tree)
     place = {name: i for i, name in enumerate(features)}
     sent = nodes.sparkSession.sparkContext.broadcast(
-        [([place[n] for n in leaf.features], leaf.low, leaf.high, leaf.adds) for leaf in paths if leaf.features]
+        [
+            [
+                ([place[n] for n in leaf.features], leaf.low.tolist(), leaf.high.tolist(), np.ascontiguousarray(leaf.adds.T))
+                for leaf in tree
+                if leaf.features
+            ]
+            for tree in paths
+        ]
     )
     names, out = [scaled_name(n) for n in features], [key, BASE, MARGIN, *map(added, features)]
 
     # nothing of this module is used inside: workers needn't have it
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
-            total = np.zeros_like(x)
-            for at, low, high, adds in sent.value:
-                own = x[:, at]
-                agrees = (own > low) & (own <= high)
-                total[:, at] += adds[agrees @ (1 << np.arange(len(at)))]
-            columns = [np.full(len(x), base), base + total.sum(axis=1), *total.T]
-            yield pa.record_batch([batch.column(key), *(pa.array(np.ascontiguousarray(c)) for c in columns)], out)
+            x = [np.ascontiguousarray(batch.column(n).to_numpy(zero_copy_only=False)) for n in names]
+            total = np.zeros((len(x), batch.num_rows))
+            for tree in sent.value:
+                inside: dict[tuple[int, float, float], np.ndarray] = {}  # rows in an interval: leaves share them
+                for own, lows, highs, adds in tree:
+                    agrees = np.zeros(batch.num_rows, np.int64)
+                    for j, (at, low, high) in enumerate(zip(own, lows, highs)):
+                        if (at, low, high) not in inside:
+                            inside[at, low, high] = ((x[at] > low) & (x[at] <= high)).astype(np.int64)
+                        agrees += inside[at, low, high] << j
+                    for at, part in zip(own, adds):
+                        total[at] += part.take(agrees)
+            margin = base + np.ascontiguousarray(total.T).sum(axis=1)
+            columns = [np.full(batch.num_rows, base), margin, *total]
+            yield pa.record_batch([batch.column(key), *(pa.array(c) for c in columns)], out)
 
     parts = ", ".join(f"`{added(n)}` double" for n in features)
     kind = dict(rows.dtypes)[key]
