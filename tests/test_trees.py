@@ -136,3 +136,14 @@ def test_attribution_of_many_leaves_is_quick(spark):
     off = F.abs(F.col(trees.MARGIN) - F.col(trees.BASE) - sum(F.col(trees.added(n)) for n in names))
     assert got.agg(F.max(off)).first()[0] < 1e-9
     assert time.time() - began < 20
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    """A table of one large file and small ones would leave most slots waiting for one at every level."""
+    rows = spark.range(0, 4000, numPartitions=1).unionAll(spark.range(0, 40, numPartitions=3))
+    slots = spark.sparkContext.defaultParallelism
+    even = model.dealt(rows, part_rows=200).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(even) == slots * -(-4040 // (slots * 200))
+    sizes = [r["count"] for r in even]
+    assert sum(sizes) == 4040 and max(sizes) - min(sizes) <= 4
+    assert model.dealt(rows) is rows  # one wave holds them

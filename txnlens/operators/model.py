@@ -73,6 +73,20 @@ def fit_scale(train: DataFrame, columns: list[str] = FEATURES) -> Scale:
     )
 
 
+# Rows of a partition that trees are fitted on, at most; a table that one wave of tasks holds is left as it is.
+FIT_ROWS = 400_000
+
+
+def dealt(rows: DataFrame, part_rows: int = FIT_ROWS) -> DataFrame:
+    """Rows in even partitions, as many as fill all task slots some times over.
+
+    Each level of each tree is a pass over the rows, which lasts as long as its slowest slot.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    waves = -(-rows.count() // (slots * part_rows))
+    return rows.repartition(slots * waves) if waves > 1 else rows
+
+
 def train(
     rows: DataFrame,
     trees: int = TREES,
@@ -82,7 +96,7 @@ def train(
 ) -> PipelineModel:
     """Fit scale, assembler and boosted trees.
 
-    The assembled rows are read once per tree level, so they should be persisted by the caller.
+    The rows are read a few times before the trees keep them, so they should be persisted by the caller.
     """
     stages = [
         fit_scale(rows).stage(),
@@ -96,7 +110,7 @@ def train(
             seed=seed,
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return Pipeline(stages=stages).fit(dealt(rows))
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

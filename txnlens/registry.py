@@ -657,7 +657,7 @@ def _plain(name: str) -> str:
 @cache
 def _fitted(spark, sf_dir):
     """Model and scored test rows, with the payments they belong to; fitted once per session."""
-    txn = _accidents(spark, sf_dir)
+    txn = stage(_accidents(spark, sf_dir), "accidents")  # read three times
     fitted, scored = train.fit(txn)
     shown = ["transaction_id", *[c for c in txn.columns if c not in (*scored.columns,)]]
     return fitted, scored, scored.join(txn.select(*shown), "transaction_id")
