@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from txnlens.llm import decontaminate, language_id, ngram_lm
@@ -218,6 +219,32 @@ def test_longer_contexts_against_brute_force(documents, corpus, order):
         assert ours[:2] == theirs[:2] and (ours[2] is theirs[2] or ours[2] == pytest.approx(theirs[2], rel=1e-9))
 
 
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_scores_are_the_same_whichever_words_have_numbers(documents, corpus, monkeypatch, most):
+    monkeypatch.setattr(ngram_lm, "NUMBERED_WORDS", most)
+    rows = [r for r in corpus[0] if r[0] not in (91, 92)]
+    got = ngram_lm.score(documents(rows), 50, 3).collect()
+    seen = sorted(((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got), key=str)
+    for ours, theirs in zip(seen, brute_backoff(rows, 3), strict=True):
+        assert ours[:2] == theirs[:2] and (ours[2] is theirs[2] or ours[2] == pytest.approx(theirs[2], rel=1e-9))
+
+
+def test_blocks_are_not_shuffled_again(documents):
+    scores = ngram_lm.score(documents([(1, "a b c"), (2, "a b d")]))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # requests and answers
+
+
+def test_requests_take_four_bytes_an_ngram(documents):
+    rng = np.random.default_rng(1)
+    words = np.minimum(rng.zipf(1.4, 200_000), 5_000).astype(str)
+    blocks = ngram_lm.pack(documents([(k, " ".join(words[k::20])) for k in range(20)]).coalesce(1))
+    numbered = blocks.sparkSession.sparkContext.broadcast(ngram_lm.numbered_words(blocks, 1))
+    sent = ngram_lm.requests(blocks, 1, 3, numbered).collect()
+    n = sum(len(ngram_lm.expanded(r["counts"], "<u4")) for r in sent)
+    assert sum(len(r["keys"]) + len(r["counts"]) for r in sent) < 4 * n
+
+
 def test_query_scores_contexts_of_two_words(spark, documents, tmp_path):
     from txnlens.llm.queries import op6_lm_score
 

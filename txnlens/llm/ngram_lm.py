@@ -7,35 +7,46 @@ and if the word doesn't occur either, BACKOFF over the number of words. An n-gra
 its document doesn't occur. Counts are those of all *other* documents: a document's own n-grams are taken
 out, else nothing would ever back off.
 
-Documents are packed into blocks of some megabytes, written once. Each block asks for its different
-n-grams, keyed by a 64-bit hash and split by hash into as many buckets as the data needs. In a bucket
+Documents are packed into blocks of some megabytes, written once in the partitions in which answers meet
+them again, so that only requests and answers are shuffled. The most frequent words of a bounded sample of blocks are
+numbered. Each block asks for its different n-grams, split by key into as many buckets as the data needs: the key is
+made of the numbers if all words have one, else a hash. In a bucket
 the blocks' own counts of a key are added up and every request is answered in its own order, so answers carry
 no keys; there is no lasting count table. Back at its block, a document's n-grams are
 looked up and summed. A frequent n-gram is one request per block, so no bucket is hot.
 
 Defined results: a null or empty text has no words and a null score; repeated rows are documents of
-their own; an empty table gives an empty result; further columns are not read. N-grams are told apart
-by 64-bit hashes.
+their own; an empty table gives an empty result; further columns are not read. Words are told apart
+by 64-bit hashes, n-grams by numbers of words or 63-bit hashes. Which words have numbers doesn't change a result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.tables import default_parts, row_blocks, stage
+from txnlens.llm.tables import default_parts, row_blocks, shared_folder, trim
 from txnlens.llm.words import word_codes
 
 BACKOFF = 0.4
 ORDER = 3  # words in the longest n-grams of the production run
 BUCKET_WORDS = 4_000_000
 
+# The words that get numbers: the most frequent ones of the blocks in the sample, in each of which some are looked at.
+SAMPLE_BLOCKS = 64
+BLOCK_SAMPLE = 32_768
+NUMBERED_WORDS = 1 << 18
+WORD_BITS = 20  # of a key
+PACKED_WORDS = 3  # in one key, at most
+HASHED = np.uint64(1 << 63)  # marks keys that are hashes
+
 BLOCKS = "block bigint, doc_ids array<bigint>, n_words array<bigint>, hashes binary, codes binary, words bigint"
 
 
@@ -48,51 +59,101 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers with all first bytes before all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expanded(raw: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def pack(docs: DataFrame) -> DataFrame:
-    """Blocks of documents as word codes, written to the shared folder."""
+    """Blocks of documents as word codes, written to the shared folder, partitioned by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         part = TaskContext.get().partitionId()
         for seq, block in enumerate(row_blocks(batches)):
             codes, n_words, hashes = word_codes(block.column("text").to_pylist())
+            # frequent words first: most codes are small
+            by_count = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(hashes), np.int64)
+            rank[by_count] = np.arange(len(hashes))
             yield pa.record_batch(
                 {
                     "block": pa.array([part << 32 | seq], pa.int64()),
                     "doc_ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "n_words": pa.array([n_words.tolist()], pa.list_(pa.int64())),
-                    "hashes": pa.array([hashes.tobytes()], pa.binary()),
-                    "codes": pa.array([squeeze(codes.astype("<u4").tobytes())], pa.binary()),
+                    "hashes": pa.array([hashes[by_count].tobytes()], pa.binary()),
+                    "codes": pa.array([squeezed(rank[codes].astype("<u4"))], pa.binary()),
                     "words": pa.array([len(codes)], pa.int64()),
                 }
             )
 
+    spark, name = docs.sparkSession, f"lm_blocks_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(run, BLOCKS), "lm_blocks")
+    spark.sql(
+        f"CREATE TABLE {name} ({BLOCKS}) USING parquet CLUSTERED BY (block) INTO {default_parts(spark)} BUCKETS "
+        f"LOCATION '{shared_folder(spark).rstrip('/')}/{name}'"
+    )
+    rows.mapInArrow(run, BLOCKS).write.insertInto(name)
+    return spark.table(name)
+
+
+def numbered_words(blocks: DataFrame, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, number of each): frequent words of some blocks, the most frequent have the smallest numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, codes in zip(batch.column("hashes").to_pylist(), batch.column("codes").to_pylist()):
+                counts = np.bincount(expanded(codes, "<u4"))[:BLOCK_SAMPLE]
+                words = np.frombuffer(hashes, np.int64)[: len(counts)]
+                yield pa.record_batch({"word": pa.array(words), "n": pa.array(counts, pa.int64())})
+
+    every = max(1, n_blocks // SAMPLE_BLOCKS)
+    some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).select("hashes", "codes")
+    counts = some.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(NUMBERED_WORDS).select("word").toArrow()
+    words = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], order.astype(np.uint64)
 
 
 class Block:
     """The n-grams of a block: words, and up to ``order`` words in a row within a document.
 
     ``grams`` has for each n from 1 up (places, n-gram of each place, number of n-grams): the places
-    of words that have n - 1 words before them, and which n-gram ends there.
+    of words that have n - 1 words before them, and which n-gram ends there. ``numbered`` is what
+    ``numbered_words`` gives.
     """
 
-    def __init__(self, row: dict, order: int):
-        raw = zstandard.ZstdDecompressor().decompress(row["codes"])
-        self.codes = np.frombuffer(raw, "<u4").astype(np.int64)
+    def __init__(self, row: dict, order: int, numbered: tuple[np.ndarray, np.ndarray]):
+        self.codes = expanded(row["codes"], "<u4").astype(np.int64)
         self.hashes = np.frombuffer(row["hashes"], np.uint64)
         self.n_words = np.array(row["n_words"], np.int64)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
         before = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
         self.grams = [(np.arange(len(self.codes)), self.codes, len(self.hashes))]
-        keys, counts = [self.hashes], [np.bincount(self.codes, minlength=len(self.hashes))]
+        words, numbers = numbered
+        at = np.searchsorted(words, self.hashes)
+        known = np.append(words, np.uint64(0))[at] == self.hashes
+        known &= at < len(words)
+        number = np.append(numbers, np.uint64(0))[at]
+        named, packed, hashed = known, number, self.hashes  # of n-grams: all words have numbers; both kinds of keys
+        keys, counts = [np.where(named, packed, hashed | HASHED)], [np.bincount(self.codes, minlength=len(self.hashes))]
         last = self.codes  # the n-gram that ends at each place
         for n in range(2, order + 1):
             places = np.flatnonzero(before >= n - 1)
             both, gram = np.unique(last[places - 1] << 32 | self.codes[places], return_inverse=True)
             self.grams.append((places, gram, len(both)))
-            keys.append(mixed(keys[-1][both >> 32], self.hashes[both & 0xFFFFFFFF]))
+            front, word = both >> 32, both & 0xFFFFFFFF
+            hashed = mixed(hashed[front], self.hashes[word])
+            named = named[front] & known[word] if n <= PACKED_WORDS else np.zeros(len(both), bool)
+            packed = packed[front] << np.uint64(WORD_BITS) | number[word]
+            size = np.uint64((n - 1) << PACKED_WORDS * WORD_BITS & (1 << 63) - 1)
+            keys.append(np.where(named, size | packed, hashed | HASHED))
             counts.append(np.bincount(gram, minlength=len(both)))
             last = np.zeros(len(self.codes), np.int64)
             last[places] = gram
@@ -101,27 +162,18 @@ class Block:
 
     def buckets(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(order, bucket of each n-gram in that order): by bucket, then key."""
-        bucket = (self.keys >> np.uint64(40)) % np.uint64(n)
+        bucket = (mixed(self.keys, np.zeros(1, np.uint64)) >> np.uint64(32)) % np.uint64(n)
         order = np.lexsort((self.keys, bucket))
         return order, bucket[order]
 
 
-def small(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").tobytes())
-
-
-def large(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4").astype(np.int64)
-
-
-def requests(blocks: DataFrame, buckets: int, ngram_order: int) -> DataFrame:
+def requests(blocks: DataFrame, buckets: int, ngram_order: int, numbered: Broadcast) -> DataFrame:
     """(bucket, block, keys, counts): what a block asks of each bucket, and how often it has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, ngram_order)
+                block = Block(row, ngram_order, numbered.value)
                 order, bucket = block.buckets(buckets)
                 cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(order))
                 if not len(order):
@@ -129,30 +181,24 @@ def requests(blocks: DataFrame, buckets: int, ngram_order: int) -> DataFrame:
                 spans = list(zip(cuts.tolist(), cuts[1:].tolist()))
                 keys, counts = block.keys[order], block.counts[order]
                 # sorted keys as differences: the high bytes are mostly zero
-                packed = [
-                    squeeze(np.ascontiguousarray(np.diff(keys[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
-                    for a, b in spans
-                ]
+                packed = [squeezed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans]
                 yield pa.record_batch(
                     {
                         "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
                         "block": pa.array([row["block"]] * len(spans), pa.int64()),
                         "keys": pa.array(packed, pa.binary()),
-                        "counts": pa.array([small(counts[a:b]) for a, b in spans], pa.binary()),
+                        "counts": pa.array([squeezed(counts[a:b].astype("<u4")) for a, b in spans], pa.binary()),
                     }
                 )
+        trim()
 
     return blocks.mapInArrow(run, "bucket int, block bigint, keys binary, counts binary")
 
 
 def answer(bucket: pa.Table) -> pa.Table:
     """Add up all blocks' counts of each key; give every block the totals of its keys in its order."""
-    expand = zstandard.ZstdDecompressor().decompress
-    keys = []
-    for raw in bucket.column("keys").to_pylist():
-        planes = np.frombuffer(expand(raw), np.uint8).reshape(8, -1)
-        keys.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64))
-    counts = np.concatenate([large(c) for c in bucket.column("counts").to_pylist()])
+    keys = [np.cumsum(expanded(raw, "<u8"), dtype=np.uint64) for raw in bucket.column("keys").to_pylist()]
+    counts = np.concatenate([expanded(c, "<u4") for c in bucket.column("counts").to_pylist()])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(place, weights=counts).astype(np.int64)[place]
     cuts = np.cumsum([0, *map(len, keys)]).tolist()
@@ -160,7 +206,7 @@ def answer(bucket: pa.Table) -> pa.Table:
         {
             "block": bucket.column("block"),
             "bucket": bucket.column("bucket"),
-            "totals": pa.array([small(totals[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            "totals": pa.array([squeezed(totals[a:b].astype("<u8")) for a, b in zip(cuts, cuts[1:])], pa.binary()),
         }
     )
 
@@ -196,22 +242,23 @@ def score(docs: DataFrame, bucket_words: int = BUCKET_WORDS, order: int = ORDER)
     ``order`` is the number of words in the longest n-grams.
     """
     blocks = pack(docs)
-    all_words = blocks.agg(F.sum("words")).first()[0] or 0
+    n_blocks, all_words = blocks.agg(F.count("words"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    numbered = docs.sparkSession.sparkContext.broadcast(numbered_words(blocks, n_blocks))
     # a word adds an n-gram for each further order
     buckets = max(default_parts(docs.sparkSession), -(-all_words * max(1, order - 1) // bucket_words))
     answers = (
-        requests(blocks, buckets, order)
+        requests(blocks, buckets, order, numbered)
         .groupBy("bucket")
         .applyInArrow(answer, "block bigint, bucket int, totals binary")
     )
 
     def finish(own: pa.Table, totals: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        block = Block(row, order)
+        block = Block(row, order, numbered.value)
         sent, _ = block.buckets(buckets)
         parts = sorted((r["bucket"], r["totals"]) for r in totals.to_pylist())  # none without words
         counts = np.empty(len(sent), np.int64)
-        counts[sent] = np.concatenate([np.zeros(0, np.int64), *(large(t) for _, t in parts)])
+        counts[sent] = np.concatenate([np.zeros(0, np.int64), *(expanded(t, "<u8") for _, t in parts)])
         scores = document_scores(block, counts, all_words).astype(float)  # of no words: integers
         return pa.table(
             {
