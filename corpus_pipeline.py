@@ -24,6 +24,12 @@ Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 BROADCAST_IDS = 1_000_000
 
 
+# Rows that are sent to a worker at once, where a stage says so: executor and worker hold them both, each more than once.
+# A setting of the session's user goes first.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+OURS = "txnlens.pipeline.batchRows"  # what was set here
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """(row, uid, text): every row as a struct and its number; written, so that numbers hold."""
     rows = stage(docs.select(F.struct(*columns_of(docs)).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
@@ -78,22 +84,35 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.round_trip(docs, WORD_BPE)).drop("text")
 
 
-def tidy(step: Step) -> Step:
-    """The same step; of the tables written on the way those stay that its result reads."""
+def send(spark: SparkSession, batch_rows: int | None) -> None:
+    """Let batches have so many rows from here on, or as many as Spark lets them have."""
+    given = spark.conf.get(BATCH_ROWS, None)
+    if given is not None and given != spark.conf.get(OURS, None):
+        return
+    for key in (BATCH_ROWS, OURS):
+        spark.conf.set(key, str(batch_rows)) if batch_rows else spark.conf.unset(key)
+
+
+def tidy(step: Step, batch_rows: int | None = None) -> Step:
+    """The same step; of the tables written on the way those stay that its result reads.
+
+    Its result is to be written before the next step begins: ``batch_rows`` holds until then.
+    """
 
     @wraps(step)
     def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        send(spark, batch_rows)
         return tidied(lambda: step(spark, docs, sf_dir))
 
     return run_step
 
 
 STAGES = [
-    ("language_id", tidy(known_language)),
+    ("language_id", tidy(known_language, batch_rows=5_000)),
     ("line_dedup", tidy(new_lines)),
     ("simhash_dedup", tidy(one_of_each)),
     ("decontamination", tidy(clean)),
-    ("bpe", tidy(tokens)),
+    ("bpe", tidy(tokens, batch_rows=2_500)),
 ]
 
 # Language ID, fingerprints and tokenizers are beyond SQL; tests compare with brute force.
@@ -104,4 +123,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
+    send(spark, None)
     return docs

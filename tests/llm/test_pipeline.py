@@ -1,5 +1,7 @@
 """Stages of the corpus pipeline on rows that documents of a crawl can have."""
 
+import numpy as np
+
 import corpus_pipeline
 
 
@@ -19,3 +21,30 @@ def test_rows_that_share_an_id_are_judged_by_themselves(spark, documents, tmp_pa
         docs = documents([(doc, copied), (doc, copied), (3, copied), (doc, good)])
         got = corpus_pipeline.one_of_each(spark, docs, "").collect()
         assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(3, copied), (doc or 0, good)])
+
+
+def test_stages_set_the_size_of_batches_unless_the_user_did(spark, documents):
+    key, read = corpus_pipeline.BATCH_ROWS, lambda: spark.conf.get(corpus_pipeline.BATCH_ROWS, None)
+    stages, docs, before = dict(corpus_pipeline.STAGES), documents([(1, "a text")]), read()
+    try:
+        spark.conf.unset(key)
+        stages["bpe"](spark, docs, "")
+        assert int(read()) <= 2_500
+        stages["line_dedup"](spark, docs, "")
+        assert read() is None
+        spark.conf.set(key, "7")
+        stages["bpe"](spark, docs, "")
+        assert read() == "7"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_the_encoder_has_no_second_vocabulary():
+    from txnlens.llm import bpe
+    from txnlens.llm.queries import WORD_BPE
+
+    model = bpe.BpeEncoder(WORD_BPE)
+    whole = bpe.Tokenizer.from_file(WORD_BPE)
+    assert model.library.get_vocab_size() == 0
+    text = "\u00c9\u0301 \uff21bc \u4e2d\u6587\u3000it's 12 <|x|> \u0130 e\u0301\u2028\U0001f600a"
+    assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids

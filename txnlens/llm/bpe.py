@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from txnlens.llm.tables import held, row_blocks
+from txnlens.llm.tables import held, row_blocks, trim
 from txnlens.llm.vocab import CLASSES, SPACE, WordIds, byte_symbols, is_exotic
 
 # Of text or ids in one block.
@@ -114,7 +114,10 @@ class BpeEncoder:
             raise ValueError("added tokens that take in white space are not supported")
         marks = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.marks = regex.compile(f"({'|'.join(marks)})") if marks else None
-        self.library = Tokenizer.from_file(path)
+        # the library only normalizes and cuts: its own vocabulary and merges aren't loaded
+        bare = {**spec, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}
+        bare["model"]["unk_token"] = None
+        self.library = Tokenizer.from_str(json.dumps(bare))
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.words = WordIds(self.word_ids, space_leads=False)
 
@@ -201,7 +204,13 @@ def is_space(word: bytes) -> bool:
 
 def encoder(path: str) -> BpeEncoder:
     """One encoder per worker process and file."""
-    return held((BpeEncoder.__name__, path), lambda: BpeEncoder(path))
+
+    def load() -> BpeEncoder:
+        model = BpeEncoder(path)
+        trim()  # of the parsed file
+        return model
+
+    return held((BpeEncoder.__name__, path), load)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -70,6 +70,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                     "gaps": pa.array([squeeze(gaps.astype("<u4").tobytes())], pa.binary()),
                 }
             )
+            del block  # and with it the batch that it was cut from
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return stage(rows.mapInArrow(run, INDEX_SCHEMA), "positional_index")

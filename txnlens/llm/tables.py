@@ -74,4 +74,5 @@ def row_blocks(
             size_so_far += size
         if len(sizes) > start:
             yield batch.slice(start)
+        del batch  # else it stays while the next one is read
     trim()
