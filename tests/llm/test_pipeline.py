@@ -48,3 +48,23 @@ def test_the_encoder_has_no_second_vocabulary():
     assert model.library.get_vocab_size() == 0
     text = "\u00c9\u0301 \uff21bc \u4e2d\u6587\u3000it's 12 <|x|> \u0130 e\u0301\u2028\U0001f600a"
     assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_decoding_takes_a_few_times_the_memory_of_its_text():
+    import tracemalloc
+
+    from txnlens.llm import bpe
+    from txnlens.llm.queries import WORD_BPE
+
+    model, library = bpe.BpeEncoder(WORD_BPE), bpe.Tokenizer.from_file(WORD_BPE)
+    texts = ["nineteen committees of the international federation of architecture " * 20_000, "", "nineteen"]
+    rows = model.encode(texts)
+    tracemalloc.start()
+    try:
+        decoded = model.decode(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12 * len(decoded[0])
+    for ids, text in zip(rows, decoded):
+        assert text.decode() == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)

@@ -8,7 +8,7 @@ different word of the block is then encoded once.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,9 @@ EXOTIC = 0x250
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
+# Runs that are gathered at once.
+GATHERED = 1 << 16
+
 # White space below EXOTIC, and the contractions that both patterns cut off.
 SPACES = {*range(9, 14), 32, 0x85, 0xA0}
 CONTRACTIONS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
@@ -96,6 +99,19 @@ def word_starts(data: np.ndarray, texts: np.ndarray, space_leads: bool) -> np.nd
     return np.flatnonzero(starts)
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[bytes]:
+    """Runs of ``values`` put end to end, by one gather for every ``GATHERED`` runs.
+
+    A gather takes two wide numbers for each value, many times what it gives.
+    """
+    for k in range(0, len(starts), GATHERED):
+        some = sizes[k : k + GATHERED]
+        ends = np.cumsum(some, dtype=np.int64)
+        source = np.repeat(starts[k : k + GATHERED] - (ends - some), some)
+        source += np.arange(len(source))
+        yield values[source].tobytes()
+
+
 class WordIds:
     """Ids of whole texts from an encoder of single words; the words seen are kept, up to a bound."""
 
@@ -137,9 +153,7 @@ class WordIds:
         place = np.concatenate([[0], np.cumsum(counts)[:-1]])
         sizes = counts[code]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(place[code] - ends[:-1], sizes)
-        source += np.arange(ends[-1])
-        raw = flat[source].tobytes()
+        raw = b"".join(gathered(flat, place[code], sizes))
         cuts = (ends[np.searchsorted(starts, bounds)] * 4).tolist()
         for i, a, b in zip(full.tolist(), cuts, cuts[1:]):
             out[i] = raw[a:b]
